@@ -2,15 +2,16 @@
 
 A line's shingles are SHINGLE characters at every word start (in scripts without blanks, at every character). Their MinHash
 signature is built by one aggregation, whose minima are combined before the shuffle. Lines that share a band's hash are
-compared with the band's least line, and then, where they still fall into different components, with each other; each
-pair's Jaccard similarity is verified on the whole shingle sets. Union-find over the links leaves one line per component.
+compared with the band's pivot; lines of a band that still fall into different components are compared with the pivots of
+every two bands they share. So comparisons grow with lines, not with the square of a group. Each pair's Jaccard similarity is
+verified on the whole shingle sets. Union-find over the links leaves one line per component.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import columns_free, materialize, small_or_shuffled
+from .common import columns_free, drop_table, materialize, small_or_shuffled
 from .components import connected_components
 
 SHINGLE, BANDS, BAND_ROWS = 8, 8, 3
@@ -21,8 +22,8 @@ SECOND = 0x5EED
 
 
 def shingles(line: Column) -> Column:
-    """SHINGLE characters (fewer at the end) from each place after a blank, a line's start or a character beyond U+024F."""
-    return F.regexp_extract_all(line, F.lit(r"(?s)(?<![\x21-\x{24f}])(?=([^\x00-\x20].{0,%d}))" % (SHINGLE - 1)), 1)
+    """SHINGLE characters (fewer at the end) from each start of a run of characters up to U+024F and from each beyond."""
+    return F.regexp_extract_all(line, F.lit(r"(?s)(?=([^\x00-\x20].{0,%d}))(?:[\x21-\x{24f}]++|.)" % (SHINGLE - 1)), 1)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -33,12 +34,23 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar."""
-    ta, tb = (texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
-    both = pairs.join(ta, "a").join(tb, "b").select("a", "b", F.array_distinct(shingles(F.col("line_a"))).alias("sa"), F.array_distinct(shingles(F.col("line_b"))).alias("sb"))
+    ta, tb = (texts.select(F.col("id").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
+    both = pairs.join(ta, "a").join(tb, "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(F.lit(SIMILAR[1]) * common >= F.lit(SIMILAR[0]) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """Of (id, band), those whose band has several ids, with the band's pivot: the id that is least when xored with the band,
+    so that every band draws its own."""
+    mixed = F.col("id").bitwiseXOR(F.col("band"))
+    spread = rows.groupBy("band").agg(F.min(mixed).alias("least"), F.max(mixed).alias("most")).where("least <> most").select("band", F.col("least").bitwiseXOR(F.col("band")).alias("pivot"))
+    spread = materialize(spread, "line-buckets")
+    found = materialize(rows.join(small_or_shuffled(spread), "band"), "line-members")
+    drop_table(spread)
+    return found
+
+
 def line_components(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), first_doc, first_line, kept for each line of each text of docs that isn't blank.
 
@@ -53,36 +65,37 @@ def line_components(docs: DataFrame) -> DataFrame:
     clash = materialize(places.groupBy("id").agg(F.min("second").alias("x"), F.max("second").alias("y")).where("x <> y").select("id"), "line-clashes")
     if not clash.isEmpty():
         shared = small_or_shuffled(clash.withColumn("clash", F.lit(True)))
-        apart = lambda df: df.join(shared, "id", "left").withColumn("id", F.when(F.col("clash"), F.col("second")).otherwise(F.col("id"))).drop("clash")
+        told = lambda df: df.join(shared, "id", "left").withColumn("id", F.when(F.col("clash"), F.col("second")).otherwise(F.col("id"))).drop("clash")
     else:
-        apart = lambda df: df
-    places = apart(places).drop("second")
-    named = apart(lines.select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(SECOND), "line").alias("second"), "line")).drop("second")
+        told = lambda df: df
+    places = told(places).drop("second")
+    named = told(lines.select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(SECOND), "line").alias("second"), "line")).drop("second")
 
     # Signatures: a row a shingle, combined to a row a line before anything moves.
     each = named.select("id", F.explode(shingles(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
-    mins = [F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS * BAND_ROWS)]
+    mins = [F.min(F.hash("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS * BAND_ROWS)]
     band = [F.xxhash64(F.lit(b), *[f"m{b * BAND_ROWS + r}" for r in range(BAND_ROWS)]) for b in range(BANDS)]
     signed = materialize(each.groupBy("id").agg(*mins).select("id", F.array(*band).alias("bands")), "line-bands")
-    rows = signed.select("id", F.explode("bands").alias("band"))
-    spread = rows.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("band", "least")
-    members = materialize(rows.join(small_or_shuffled(materialize(spread, "line-buckets")), "band"), "line-members")
-
-    pairs = materialize(members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "line-pairs")
+    members = _bucketed(signed.select("id", F.explode("bands").alias("band")))
+    pairs = materialize(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "line-pairs")
     wanted = members.select("id").distinct()
-    texts = materialize(named.join(small_or_shuffled(wanted), "id", "left_semi").dropDuplicates(["id"]), "line-texts")
+    texts = named.join(small_or_shuffled(wanted), "id", "left_semi").dropDuplicates(["id"])
+    texts = materialize(texts.select("id", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("set")), "line-sets")
     near = materialize(_links(pairs, texts), "line-links")
     roots = connected_components(near)
 
-    # Lines of one bucket that are still apart are compared with each other, unless they were.
-    placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    # Lines of one band that are still apart are bucketed anew by every two bands of theirs, and compared with those pivots.
+    placed = members.where("id <> pivot").select("band", "id").join(small_or_shuffled(roots.withColumnRenamed("node", "id")), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-    placed = materialize(placed.join(small_or_shuffled(mixed), "band", "left_semi"), "line-apart")
-    one, two = placed.select("band", F.col("id").alias("a"), F.col("root").alias("ra")), placed.select("band", F.col("id").alias("b"), F.col("root").alias("rb"), "least")
-    more = one.join(two, "band").where("ra < rb and a <> least and b <> least").select("a", "b").distinct()
-    if not placed.isEmpty():
-        found = _links(more, texts)
-        roots = connected_components(near.unionByName(found))
+    apart = materialize(placed.join(small_or_shuffled(mixed), "band", "left_semi").select("id").distinct(), "line-apart")
+    if not apart.isEmpty():
+        two = F.array(*[F.xxhash64(F.lit(-1), F.col("bands")[i], F.col("bands")[j]) for i in range(BANDS) for j in range(i)])
+        again = _bucketed(signed.join(small_or_shuffled(apart), "id", "left_semi").select("id", F.explode(two).alias("band")))
+        more = again.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        roots = connected_components(near.unionByName(_links(more, texts)))
+        drop_table(again)
+    for done in (signed, members, pairs, apart, near, texts):
+        drop_table(done)
 
     owned = places.join(small_or_shuffled(roots.withColumnRenamed("node", "id")), "id", "left").select("doc_id", "line_no", F.coalesce("root", "id").alias("root"))
     firsts = owned.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
