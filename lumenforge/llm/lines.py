@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import columns_free, drop_table, materialize, small_or_shuffled
 from .components import connected_components
 
-SHINGLE, BANDS, BAND_ROWS = 8, 8, 3
+#: Twelve characters reach into the second word, so lines that share no more than common words rarely share a band: such
+#: chance collisions grow with the square of all lines.
+SHINGLE, BANDS, BAND_ROWS = 12, 8, 3
 #: Similarity from which lines are linked, as a fraction.
 SIMILAR = (4, 5)
 #: Lines are joined by 64-bit hashes; a second hash finds the lines whose first is shared.
@@ -27,35 +29,35 @@ def shingles(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line: the lines of each text that aren't blank, trimmed and in lower case."""
+    """doc_id, line_no, line: the lines of each text that aren't blank, trimmed."""
     every = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return every.withColumn("line", F.lower(F.trim("line"))).where("line <> ''")
+    return every.withColumn("line", F.trim("line")).where("line <> ''")
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar."""
     ta, tb = (texts.select(F.col("id").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
     both = pairs.join(ta, "a").join(tb, "b")
-    common = F.size(F.array_intersect("sa", "sb"))
+    # Inside a lambda, so that the loops stay out of the stage's generated code, whose compilation took over a GB.
+    common = F.transform(F.array(F.struct("sa", "sb")), lambda p: F.size(F.array_intersect(p["sa"], p["sb"])))[0]
     return both.where(F.lit(SIMILAR[1]) * common >= F.lit(SIMILAR[0]) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def _bucketed(rows: DataFrame) -> DataFrame:
-    """Of (id, band), those whose band has several ids, with the band's pivot: the id that is least when xored with the band,
-    so that every band draws its own."""
-    mixed = F.col("id").bitwiseXOR(F.col("band"))
-    spread = rows.groupBy("band").agg(F.min(mixed).alias("least"), F.max(mixed).alias("most")).where("least <> most").select("band", F.col("least").bitwiseXOR(F.col("band")).alias("pivot"))
-    spread = materialize(spread, "line-buckets")
-    found = materialize(rows.join(small_or_shuffled(spread), "band"), "line-members")
-    drop_table(spread)
-    return found
+def _bucketed(rows: DataFrame, own: bool = False) -> DataFrame:
+    """Of (id, band), those whose band has several ids, with the band's pivot: its least id, or, if bands are to draw pivots
+    of their own, the id that is least when xored with the band."""
+    dealt = rows.repartition("band")  # one exchange for both uses, without the minima of buckets of one
+    mixed = F.col("id").bitwiseXOR(F.col("band") if own else F.lit(0))
+    spread = dealt.groupBy("band").agg(F.min(mixed).alias("least"), F.max(mixed).alias("most")).where("least <> most")
+    spread = spread.select("band", F.col("least").bitwiseXOR(F.col("band") if own else F.lit(0)).alias("pivot"))
+    return materialize(dealt.join(spread.hint("shuffle_hash"), "band"), "line-members")
 
 
 def line_components(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), first_doc, first_line, kept for each line of each text of docs that isn't blank.
 
     first_doc and first_line name the first line (by doc_id, null first, then line_no) of the component, which is kept.
-    Lines are compared in lower case without blanks at their ends: equal ones, and those whose shingle sets have a Jaccard
+    Lines are compared without blanks at their ends: equal ones, and those whose shingle sets have a Jaccard
     similarity of 0.8 or more, are linked. Null and empty texts have no lines; of repeated documents the copies' lines go,
     and lines alike in doc_id and line_no are kept or dropped together; an empty table gives no rows.
     """
@@ -72,7 +74,7 @@ def line_components(docs: DataFrame) -> DataFrame:
     named = told(lines.select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(SECOND), "line").alias("second"), "line")).drop("second")
 
     # Signatures: a row a shingle, combined to a row a line before anything moves.
-    each = named.select("id", F.explode(shingles(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
+    each = named.select("id", F.explode(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("h"))
     mins = [F.min(F.hash("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS * BAND_ROWS)]
     band = [F.xxhash64(F.lit(b), *[f"m{b * BAND_ROWS + r}" for r in range(BAND_ROWS)]) for b in range(BANDS)]
     signed = materialize(each.groupBy("id").agg(*mins).select("id", F.array(*band).alias("bands")), "line-bands")
@@ -90,9 +92,10 @@ def line_components(docs: DataFrame) -> DataFrame:
     apart = materialize(placed.join(small_or_shuffled(mixed), "band", "left_semi").select("id").distinct(), "line-apart")
     if not apart.isEmpty():
         two = F.array(*[F.xxhash64(F.lit(-1), F.col("bands")[i], F.col("bands")[j]) for i in range(BANDS) for j in range(i)])
-        again = _bucketed(signed.join(small_or_shuffled(apart), "id", "left_semi").select("id", F.explode(two).alias("band")))
+        again = _bucketed(signed.join(small_or_shuffled(apart), "id", "left_semi").select("id", F.explode(two).alias("band")), own=True)
         more = again.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        roots = connected_components(near.unionByName(_links(more, texts)))
+        stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = connected_components(stars.unionByName(_links(more, texts)))
         drop_table(again)
     for done in (signed, members, pairs, apart, near, texts):
         drop_table(done)
