@@ -109,39 +109,45 @@ def _rake_as_table(cells: DataFrame, given: Mapping, rate: float) -> DataFrame:
     return now.select(*DIMENSIONS, "p")
 
 
-def calibrate(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rate: float = RATE, seed: int = 17, driver_cells: int = DRIVER_CELLS) -> tuple[DataFrame, dict[str, str]]:
-    """docs with five more columns: source, lang and topic of the cell, tokens, p (the calibrated probability) and kept, and
-    their names (underscores are appended on clashes), by the keys cell, tokens, p, kept.
-
-    Targets map a dimension to shares of its values; a dimension without has its own shares, flattened by TEMPER. Null
-    sources and languages are a value of their own, "(none)"; texts that are null or empty weigh nothing, and a cell without
-    tokens is kept at the rate of its marginals. A row is kept if the hash of its doc_id (null: of its text) falls below p, so
-    repeated rows share their fate and a run gives the same sample again. An empty table gives no rows. Only cell sums leave
-    the executors; the table of cells is joined by broadcast up to `driver_cells` rows.
+def features(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with three more columns and their names by the keys cell (struct of source, lang and topic), tokens and key (what
+    the draw hashes: doc_id, of a null one the text); underscores are appended on clashes. Without a topic column the topic
+    is told from the text; null sources and languages are a value of their own, "(none)"."""
+    names = dict(zip(("cell", "tokens", "key"), columns_free(docs, "cell", "tokens", "key")))
+    value = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("topic") if "topic" in docs.columns else topic(F.col("text"))}
+    cell = F.struct(*[F.coalesce(value[d].cast("string"), F.lit(NONE)).alias(d) for d in DIMENSIONS])
+    return docs.withColumns({names["cell"]: cell, names["tokens"]: tokens(F.col("text")), names["key"]: F.coalesce("doc_id", F.xxhash64("text"))}), names
+
+
+def calibrate(marked: DataFrame, names: dict[str, str], targets: Mapping[str, Mapping[str, float]] | None = None, rate: float = RATE, seed: int = 17, driver_cells: int = DRIVER_CELLS) -> tuple[DataFrame, dict[str, str]]:
+    """marked, as features() gives it, with p (the calibrated probability) and kept; and all added names.
+
+    Targets map a dimension to shares of its values; a dimension without has its own shares, flattened by TEMPER. Texts that
+    are null or empty weigh nothing, and a cell without tokens is kept at the rate of its marginals. A row is kept if the
+    hash of its key falls below p, so repeated rows share their fate and a run gives the same sample again. An empty table
+    gives no rows. Only cell sums leave the executors; the table of cells is broadcast up to `driver_cells` rows.
     """
     targets = targets or {}
     if bad := set(targets) - set(DIMENSIONS):
         raise ValueError(f"unknown dimensions: {sorted(bad)}")
-    cell, count, p, kept = columns_free(docs, "cell", "tokens", "p", "kept")
-    known = "topic" in docs.columns
-    value = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("topic") if known else topic(F.col("text"))}
-    marked = docs.withColumns({cell: F.struct(*[F.coalesce(value[d].cast("string"), F.lit(NONE)).alias(d) for d in DIMENSIONS]), count: tokens(F.col("text"))})
-    cells = materialize(marked.groupBy(F.col(cell)).agg(F.sum(count).alias("weight")).select(f"{cell}.*", "weight"), "cells")
+    cell, (p, kept) = names["cell"], columns_free(marked, "p", "kept")
+    cells = materialize(marked.groupBy(F.col(cell)).agg(F.sum(names["tokens"]).alias("weight")).select(f"{cell}.*", "weight"), "cells")
     few = cells.limit(driver_cells + 1).count() <= driver_cells
     found = _rake_on_driver(cells, targets, rate) if few else _rake_as_table(cells, targets, rate)
     found = found.select(F.struct(*DIMENSIONS).alias(cell), F.col("p").alias(p))
-    drawn = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.xxhash64("text"))), F.lit(1 << 48)) / F.lit(float(1 << 48))
+    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(names["key"])), F.lit(1 << 48)) / F.lit(float(1 << 48))
     out = marked.join(F.broadcast(found) if few else found, cell).withColumn(kept, drawn < F.col(p))
-    return out, {"cell": cell, "tokens": count, "p": p, "kept": kept}
+    return out, names | {"p": p, "kept": kept}
 
 
 def mix(docs: DataFrame, targets=None, rate: float = RATE, seed: int = 17) -> DataFrame:
     """The sampled rows of docs, all columns."""
-    marked, names = calibrate(docs, targets, rate, seed)
+    marked, names = calibrate(*features(docs), targets, rate, seed)
     return marked.where(names["kept"]).select(*[marked[f"`{c}`"] for c in docs.columns])
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    marked, n = calibrate(docs)
+    marked, names = features(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    # Read once: the features are a few bytes a document and serve the sums as well as the draw.
+    marked, n = calibrate(materialize(marked.select("doc_id", *names.values()), "features"), names)
     return marked.select("doc_id", f"{n['cell']}.source", f"{n['cell']}.lang", f"{n['cell']}.topic", n["tokens"], F.round(n["p"], 9).alias("p"), n["kept"])
