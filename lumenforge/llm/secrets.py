@@ -29,6 +29,10 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,512}")
 #: The fit's sample: so many values of base assignments, and so many ordinary words, at most.
 SAMPLE_VALUES, SAMPLE_DOCS = 600, 400
 DRAWN, ALPHA = 400, 0.05
+#: Ways out of a state from which it counts as part of a random body.
+BODY = 5
+#: Occurrences from which a state is held against others by its counts.
+TOLD = 12
 #: A candidate must be likelier than under the background by so many nats a character, and by so many in all.
 MARGIN, MARGIN_ALL = 0.7, 14.0
 
@@ -97,9 +101,14 @@ class Automaton:
         red, blue = [0], sorted(self.next[0].values())
         while blue:
             b = blue.pop(0)
-            near = [(d, r) for r in red if (d := self._distance(r, b, bound)) is not None]
+            parent, ch = next((r, ch) for r in red for ch, x in self.next[r].items() if x == b)
+            body = [r for r in red if len(self.via[r]) >= BODY]
+            if self.seen[b] < TOLD and body:
+                # Too rare to tell states apart by: it goes on like the body it comes from, else the most varied one.
+                near = [(0, parent if parent in body else max(body, key=lambda r: len(self.via[r])))]
+            else:
+                near = [(round(d, 6), r) for r in red if (d := self._distance(r, b, bound)) is not None]
             if near:
-                parent, ch = next((r, ch) for r in red for ch, x in self.next[r].items() if x == b)
                 self.next[parent][ch] = r = min(near)[1]
                 self._fold(r, b)
             else:
@@ -125,12 +134,24 @@ class Automaton:
         at = {r: i for i, r in enumerate(self.red)}
         self.moves = [{ch: (at[x], math.log(self.via[r][ch] / self.seen[r])) for ch, x in self.next[r].items()} for r in self.red]
         self.stop = [math.log(self.ends[r] / self.seen[r]) if self.ends[r] else -math.inf for r in self.red]
+        # A state that many characters leave is part of a random body: of the format's characters, it lets any pass that its
+        # sample happens to lack, by its commonest way, and may be the last. States of literal parts stay strict.
+        self.alphabet = {ch for r in self.red for ch in self.via[r]}
+        self.other = []
+        for i, r in enumerate(self.red):
+            p = math.log(0.5 / (self.seen[r] + 0.5 * len(self.alphabet)))
+            body = len(self.via[r]) >= BODY
+            self.other.append((at[self.next[r][max(self.via[r], key=self.via[r].get)]], p) if body else None)
+            if body and not self.ends[r]:
+                self.stop[i] = p
         del self.next, self.seen, self.via, self.ends, self.red
 
     def loglik(self, word: str) -> float:
         at, total = 0, 0.0
         for ch in word:
             move = self.moves[at].get(ch)
+            if move is None and ch in self.alphabet:
+                move = self.other[at]
             if move is None:
                 return -math.inf
             at, p = move

@@ -27,6 +27,10 @@ N, LENGTHS = len(ROLES), 20
 #: Feature counts of the emission: marker, length class (quarter octaves from 16), ends in a question mark, several lines.
 SHAPE = (N + 1, LENGTHS, 2, 2)
 SMOOTH = 0.5
+#: Added to the count of each marker with each role, and to that of a role's own marker, as a share of the role's lines.
+#: Share of the even distribution in the features' own, so that no unseen shape outweighs a marker.
+FLAT = 0.1
+OTHERS, OWN = 0.001, 0.2
 
 
 def observations(lines: DataFrame, key: str, order: list[str], role: str | None) -> DataFrame:
@@ -56,11 +60,13 @@ class Model:
         """From counts. Features count as independent given the role; a speaker marker, where none was seen with a role,
         still speaks for its own role."""
         parts = cells.reshape(N, *SHAPE)
-        marker = parts.sum(axis=(2, 3, 4)) + SMOOTH
+        seen = parts.sum(axis=(2, 3, 4))
+        marker = seen + OTHERS
         for i in range(N):
-            marker[i, i + 1] += 40 * SMOOTH
+            marker[i, i + 1] += max(2.0, OWN * seen[i].sum())
         axes = [marker, parts.sum(axis=(1, 3, 4)) + SMOOTH, parts.sum(axis=(1, 2, 4)) + SMOOTH, parts.sum(axis=(1, 2, 3)) + SMOOTH]
         axes = [a / a.sum(axis=1, keepdims=True) for a in axes]
+        axes[1:] = [(1 - FLAT) * a + FLAT / a.shape[1] for a in axes[1:]]
         emit = np.einsum("ra,rb,rc,rd->rabcd", *axes).reshape(N, -1)
         return cls(first + SMOOTH, pairs + SMOOTH, emit)
 
