@@ -161,9 +161,9 @@ def redact_variants(spectra, ids, _):
     return anon.redact_variants(spectra, marked).select(*SPECTRUM, "event_id")
 
 
-@query("select i.id from v_ids i join (select run_name, count(*) as n from v_spectra where spectrum_index < 400 group by 1) k on i.run_name = k.run_name and i.spectrum_index < k.n", "spectra", "ids")
+@query("select i.id from v_ids i join (select run_name, count(*) as n from v_spectra where ms_level = 2 group by 1) k on i.run_name = k.run_name and i.spectrum_index < k.n", "spectra", "ids")
 def kept_identifications(spectra, ids, _):
-    return anon.kept_identifications(ids, spectra.where("spectrum_index < 400")).select("id")
+    return anon.kept_identifications(ids, spectra.where("ms_level = 2")).select("id")
 
 
 @query("select distinct run_name, spectrum_index from v_ids where chemical_entity in ('1-URGENT', '2-HIGH')", "ids")
@@ -241,21 +241,21 @@ def largest_peak(spectra, _):
     return spectra.groupBy("run_name").agg(F.max_by("spectrum_index", key).alias("top_index"), F.max("base_peak_intensity").alias("top"))
 
 
-_LONG = "select vec_id as j, cast(k as bigint) as k, cast(e as double) as value from (select vec_id, unnest(embedding) as e, unnest(range(0, 64)) as k from embeddings where vec_id < 24) where k < 16"
+_LONG = "select vec_id as j, cast(k as bigint) as k, cast(e as double) as value from (select vec_id, unnest(embedding) as e, unnest(range(0, 64)) as k from embeddings)"
 
 
 def _matrix(table):
-    return table("embeddings").where("vec_id < 24").select(F.col("vec_id").alias("j"), F.posexplode(F.slice(F.col("embedding").cast("array<double>"), 1, 16)).alias("k", "value")).withColumn("k", F.col("k").cast("long"))
+    return table("embeddings").select(F.col("vec_id").alias("j"), F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "value")).withColumn("k", F.col("k").cast("long"))
 
 
-@query(f"with t as ({_LONG}), d as (select j, k, value - avg(value) over (partition by k) as v from t) select a.k as k1, b.k as k2, round(sum(a.v * b.v) / 23, 9) as sync from d a join d b on a.j = b.j group by 1, 2")
+@query(f"with t as ({_LONG}), d as (select j, k, value - avg(value) over (partition by k) as v from t) select a.k as k1, b.k as k2, round(sum(a.v * b.v) / ((select count(*) from embeddings) - 1), 7) as sync from d a join d b on a.j = b.j group by 1, 2")
 def correlation_sync(table):
-    return cos.synchronous(_matrix(table)).withColumn("sync", F.round("sync", 9))
+    return cos.synchronous(_matrix(table)).withColumn("sync", F.round("sync", 7))
 
 
-@query(f"with t as ({_LONG}), d as (select j, k, value - avg(value) over (partition by k) as v from t) select a.k as k1, b.k as k2, round(sum(case when a.j = b.j then 0 else a.v * b.v / (pi() * (b.j - a.j)) end) / 23, 9) + 0.0 as async from d a, d b group by 1, 2")
+@query(f"with t as ({_LONG}), d as (select j, k, value - avg(value) over (partition by k) as v from t), h as (select a.j, b.k, sum(case when a.j = b.j then 0 else b.v / (pi() * (b.j - a.j)) end) as t from (select distinct j from d) a, d b group by 1, 2) select a.k as k1, h.k as k2, round(sum(a.v * t) / ((select count(*) from embeddings) - 1), 7) + 0.0 as async from d a join h on a.j = h.j group by 1, 2")
 def correlation_async(table):
-    return cos.asynchronous(_matrix(table)).withColumn("async", F.round("async", 9) + 0.0)
+    return cos.asynchronous(_matrix(table)).withColumn("async", F.round("async", 7) + 0.0)
 
 
 @query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when q <= 1 then 0 when q <= 9 then 5 when q <= 19 then 15 when q <= 24 then 22 when q <= 29 then 27 when q <= 34 then 32 when q <= 39 then 37 else 40 end as bin from (select *, cast(l_quantity as integer) as q from lineitem)")
@@ -278,3 +278,34 @@ def nullish_numbers(table):
     k = F.col("o_orderkey")
     s = F.when(k % 4 == 0, "N/A").when(k % 4 == 1, k.cast("string")).when(k % 4 == 2, "x").otherwise("")
     return table("orders").select("o_orderkey", fn.nullish_double(s).alias("value"))
+
+
+@query("select doc_id, cast(length(text) as bigint) as n from documents")
+def codec_round_trip(table):
+    """Texts packed as bases and decoded again, and entropy-coded: the codecs lose nothing."""
+    from .functions.codecs import pack_bases, rans_decode, rans_encode, unpack_bases, with_bytes
+
+    df = table("documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
+    df = with_bytes(with_bytes(df, "raw", "packed", pack_bases), "packed", "coded", lambda b: rans_encode(b))
+    df = with_bytes(with_bytes(df, "coded", "again", lambda b: rans_decode(b)), "again", "whole", unpack_bases)
+    return df.where("raw = whole").select("doc_id", F.length(F.col("whole").cast("string")).cast("long").alias("n"))
+
+
+@query(f"select dataset_id, spectrum_index as au_sequence, ms_level, polarity, retention_time, precursor_mz, base_peak_intensity from v_spectra where ms_level = 2 and not (retention_time > 9000000.0)", "spectra")
+def packet_round_trip(spectra, _):
+    """Access units written as packets, read from the wire again, and filtered on their keys."""
+    from .streaming.packets import parse_units, read_packets, write_units
+
+    packets = write_units(spectra.withColumn("au_sequence", F.col("spectrum_index")))
+    units = parse_units(read_packets(packets, "packet"))
+    return p.UnitFilter(ms_level=2, rt_max=9e6).on(units).drop("spectrum_class")
+
+
+@query(f"select {R}, length as n from v_reads", "reads")
+def sealed_round_trip(reads, _):
+    """Row-wise AES-GCM with the row's place as authenticated data, sealed and opened again."""
+    from .functions.protect import aad, seal, unseal
+
+    key, place = F.unhex(F.lit("00112233445566778899aabbccddeeff" * 2)), aad(F.lit(1), F.col("read_index"), F.lit("length"))
+    sealed = reads.withColumn("sealed", seal(F.col("length").cast("string").cast("binary"), key, place))
+    return sealed.select(*READ, unseal(F.col("sealed"), key, place).cast("string").cast("long").alias("n"))
