@@ -10,7 +10,7 @@ VIEWS = {
     "spectra": (
         "events",
         """select concat('run_', cast(user_id % 4 as {string})) as run_name,
-    row_number() over (partition by user_id % 4 order by ts, event_id) - 1 as spectrum_index,
+    cast(row_number() over (partition by user_id % 4 order by ts, event_id) - 1 as bigint) as spectrum_index,
     cast({micros_ts} - {micros_first} as double) / 1e6 as retention_time,
     case when event_type in ('view', 'click') then 1 else 2 end as ms_level,
     case event_id % 3 when 0 then 1 when 1 then -1 else 0 end as polarity,
@@ -20,7 +20,7 @@ VIEWS = {
     "reads": (
         "lineitem",
         """select concat('g', cast(l_suppkey % 3 as {string})) as run_name,
-    row_number() over (partition by l_suppkey % 3 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 as read_index,
+    cast(row_number() over (partition by l_suppkey % 3 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 as bigint) as read_index,
     concat(l_returnflag, l_linestatus) as chromosome, cast(l_partkey * 10 + l_linenumber as bigint) as position,
     cast(l_quantity as bigint) as flags, cast(l_linenumber * 10 as bigint) as length,
     concat(cast(l_linenumber * 5 as {string}), 'S', cast(l_linenumber * 10 as {string}), 'M') as cigar,
