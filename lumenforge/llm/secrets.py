@@ -16,7 +16,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import share, utf8
+from .common import drop_table, materialize, share as send, utf8
 
 #: Fixed patterns of the base spans, in the order of their kinds.
 BASE = {
@@ -233,11 +233,16 @@ def train(docs: DataFrame) -> Grammar:
     distinct values, SAMPLE_VALUES with the least hashes. The background are words of SAMPLE_DOCS documents chosen
     likewise, 2,000 characters of each at a hashed place."""
     texts = docs.where(F.col("text").isNotNull()).select("text")
+    share = lambda h, most, n: F.pmod(h, F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.lit(3.0 * most / max(1, n))  # noqa: E731  so a task sends a few rows
     values = texts.where(F.col("text").rlike(_ASSIGN)).select(F.explode(F.regexp_extract_all("text", F.lit(_ASSIGN), 1)).alias("v")).where(F.length("v") <= 256).distinct()
-    found = [r[0] for r in values.orderBy(F.xxhash64("v"), "v").limit(SAMPLE_VALUES).collect()]
+    values = materialize(values, "values")
+    h = F.xxhash64("v")
+    found = [r[0] for r in values.where(share(h, SAMPLE_VALUES, values.count())).orderBy(h, "v").limit(SAMPLE_VALUES).collect()]
+    drop_table(values)
     h = F.xxhash64("text")
-    plain = texts.where(~F.col("text").rlike(_ASSIGN) & (F.length("text") > 0)).select(F.substr("text", (F.pmod(h, F.greatest(F.length("text") - 1999, F.lit(1))) + 1).cast("int"), F.lit(2000)).alias("t"), h.alias("h"))
-    words = [w for r in plain.orderBy("h").limit(SAMPLE_DOCS).collect() for w in re.findall(r"[A-Za-z0-9+/_.=-]+", r[0])]
+    some = texts.where(share(h, SAMPLE_DOCS, docs.count())).where(~F.col("text").rlike(_ASSIGN) & (F.length("text") > 0))
+    plain = some.select(F.substr("text", (F.pmod(h, F.greatest(F.length("text") - 1999, F.lit(1))) + 1).cast("int"), F.lit(2000)).alias("t"), h.alias("h"))
+    words = [w for r in plain.orderBy("h", "t").limit(SAMPLE_DOCS).collect() for w in re.findall(r"[A-Za-z0-9+/_.=-]+", r[0])]
     return Grammar(drawn() | {"corpus": found}, words)
 
 
@@ -248,7 +253,7 @@ def scan(docs: DataFrame, grammar: Grammar | None) -> DataFrame:
     SHA-256 of the base spans alone. Null text counts as empty: no spans, the digest of the empty string. Repeated rows get
     equal results; whole texts are read whatever their length.
     """
-    shared = share(docs.sparkSession, grammar)
+    shared = send(docs.sparkSession, grammar)
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added"]
 
     def run(batches):
