@@ -143,15 +143,18 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     component. A null doc_id is kept but is no component's name unless all of it are null. An empty table gives no rows.
     """
     fps = materialize(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash")
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     edges = materialize(near_links(first.select("fp")), "simhash-links")
     roots = connected_components(edges)
-    named = first.join(roots.withColumnRenamed("node", "fp"), "fp")
-    least = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    linked = named.join(least, "root").select("fp", "least_id")
-    label = first.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    named = first.join(small_or_shuffled(roots.withColumnRenamed("node", "fp")), "fp", "left")
+    # A fingerprint that only one row has, and that links to none, needs no label: its row names itself.
+    least = named.where("root is not null").groupBy("root").agg(F.min("first_id").alias("least_id"))
+    label = named.where("n > 1 or root is not null").select("fp", "root", "first_id")
+    label = label.join(small_or_shuffled(least), "root", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), F.lit(True).alias("labelled"))
+    label = materialize(label, "simhash-labels")
     drop_table(edges)
-    return fps.join(label, "fp").select("doc_id", "fp", "component_id")
+    found = fps.join(small_or_shuffled(label), "fp", "left")
+    return found.select("doc_id", "fp", F.when(F.col("labelled"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op5_simhash_anchors(spark, sf_dir: str) -> DataFrame:
