@@ -286,6 +286,7 @@ def codec_round_trip(table):
     from .functions.codecs import pack_bases, rans_decode, rans_encode, unpack_bases, with_bytes
 
     df = table("documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
+    df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)  # coding takes far longer than the move
     df = with_bytes(with_bytes(df, "raw", "packed", pack_bases), "packed", "coded", lambda b: rans_encode(b))
     df = with_bytes(with_bytes(df, "coded", "again", lambda b: rans_decode(b)), "again", "whole", unpack_bases)
     return df.where("raw = whole").select("doc_id", F.length(F.col("whole").cast("string")).cast("long").alias("n"))
