@@ -1,7 +1,7 @@
 """Line dedup: fuzzy lines by MinHash, in DataFrame functions only.
 
-A line's shingles are SHINGLE characters at every word start (in scripts without blanks, at every character). Their MinHash
-signature is built by one aggregation, whose minima are combined before the shuffle. Lines that share a band's hash are
+A line's shingles are SHINGLE characters in a row at every place, within words and across blanks. Their MinHash signature is
+built by one aggregation, whose minima are combined before the shuffle. Lines that share a band's hash are
 compared with the band's pivot; lines of a band that still fall into different components are compared with the pivots of
 every two bands they share. So comparisons grow with lines, not with the square of a group. Each pair's Jaccard similarity is
 verified on the whole shingle sets. Union-find over the links leaves one line per component.
@@ -24,8 +24,11 @@ SECOND = 0x5EED
 
 
 def shingles(line: Column) -> Column:
-    """SHINGLE characters (fewer at the end) from each start of a run of characters up to U+024F and from each beyond."""
-    return F.regexp_extract_all(line, F.lit(r"(?s)(?=([^\x00-\x20].{0,%d}))(?:[\x21-\x{24f}]++|.)" % (SHINGLE - 1)), 1)
+    """64-bit hashes of every SHINGLE characters in a row; of the whole line if it is shorter."""
+    # Four bytes a character, so any place is reached at once; held by a lambda, so it isn't encoded anew for every place.
+    last = lambda wide: F.greatest(F.lit(0), F.shiftright(F.octet_length(wide), 2) - SHINGLE)
+    at = lambda wide: F.transform(F.sequence(F.lit(0), last(wide)), lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * SHINGLE))))
+    return F.transform(F.array(F.encode(line, "UTF-32")), at)[0]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -35,12 +38,14 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar."""
-    ta, tb = (texts.select(F.col("id").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
+    """The pairs (a, b) whose shingle sets are similar. Sets are made from the lines here, since they are many times as long."""
+    ta, tb = (texts.select(F.col("id").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
     both = pairs.join(ta, "a").join(tb, "b")
-    # Inside a lambda, so that the loops stay out of the stage's generated code, whose compilation took over a GB.
-    common = F.transform(F.array(F.struct("sa", "sb")), lambda p: F.size(F.array_intersect(p["sa"], p["sb"])))[0]
-    return both.where(F.lit(SIMILAR[1]) * common >= F.lit(SIMILAR[0]) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    # Inside lambdas, so that the loops stay out of the stage's generated code, whose compilation took over a GB.
+    sets = F.array(F.struct(*[F.array_distinct(shingles(F.col(f"l{x}"))).alias(f"s{x}") for x in "ab"]))
+    sizes = F.transform(sets, lambda p: F.struct(F.size(F.array_intersect(p["sa"], p["sb"])).alias("c"), (F.size(p["sa"]) + F.size(p["sb"])).alias("n")))
+    near = F.transform(sizes, lambda p: F.lit(SIMILAR[1]) * p["c"] >= F.lit(SIMILAR[0]) * (p["n"] - p["c"]))[0]
+    return both.where(near).select("a", "b")
 
 
 def _bucketed(rows: DataFrame, own: bool = False) -> DataFrame:
@@ -74,15 +79,14 @@ def line_components(docs: DataFrame) -> DataFrame:
     named = told(lines.select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(SECOND), "line").alias("second"), "line")).drop("second")
 
     # Signatures: a row a shingle, combined to a row a line before anything moves.
-    each = named.select("id", F.explode(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("h"))
+    each = named.select("id", F.explode(shingles(F.col("line"))).alias("h"))
     mins = [F.min(F.hash("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS * BAND_ROWS)]
     band = [F.xxhash64(F.lit(b), *[f"m{b * BAND_ROWS + r}" for r in range(BAND_ROWS)]) for b in range(BANDS)]
     signed = materialize(each.groupBy("id").agg(*mins).select("id", F.array(*band).alias("bands")), "line-bands")
     members = _bucketed(signed.select("id", F.explode("bands").alias("band")))
     pairs = materialize(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "line-pairs")
     wanted = members.select("id").distinct()
-    texts = named.join(small_or_shuffled(wanted), "id", "left_semi").dropDuplicates(["id"])
-    texts = materialize(texts.select("id", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("set")), "line-sets")
+    texts = materialize(named.join(small_or_shuffled(wanted), "id", "left_semi").dropDuplicates(["id"]).select("id", "line"), "line-texts")
     near = materialize(_links(pairs, texts), "line-links")
     roots = connected_components(near)
 

@@ -309,6 +309,21 @@ def test_line_components_against_all_pairs(spark):
     assert cleaned[200] is None and cleaned[201] == "" and cleaned[202] == "\n\n" and len(cleaned[5]) < len(rows[5][1])
 
 
+def first_lines(spark, text):
+    """The first line of each line's component, by line number."""
+    return {r.line_no: r.first_line for r in lines.line_components(spark.createDataFrame([(1, "\n".join(text))], "doc_id long, text string")).collect()}
+
+
+def test_lines_without_blanks_are_compared_whole(spark):
+    rng = random.Random(4)
+    apart = ["https://www.example.org/a/b/c", "https://www.other-site.com/totally/different", "2024-01-01T00:00:01,INFO,login,alice", "2024-01-01T00:59:59,ERROR,disk,bob"]
+    apart += ["sha256:0123" + "".join(rng.choices("0123456789abcdef", k=60)) for _ in range(20)]
+    whole = "".join(rng.choices("abcdefghij/_-", k=300))
+    text = [*apart, whole, whole[:150] + "X" + whole[151:], "日本語の文です" * 20, "日本語の文です" * 21]
+    n = len(apart)
+    assert first_lines(spark, text) == {i: i for i in range(n)} | {n: n, n + 1: n, n + 2: n + 2, n + 3: n + 2}
+
+
 def test_viterbi_pieces_agree_with_the_whole():
     rng = np.random.default_rng(4)
     model = transcripts.Model.fit(rng.random(3) * 9, rng.random((3, 3)) * 9, rng.random((3, int(np.prod(transcripts.SHAPE)))))
