@@ -3,8 +3,10 @@
 A line's shingles are SHINGLE characters in a row at every place, within words and across blanks. Their MinHash signature is
 built by one aggregation, whose minima are combined before the shuffle. Lines that share a band's hash are
 compared with the band's pivot; lines of a band that still fall into different components are compared with the pivots of
-every two bands they share. So comparisons grow with lines, not with the square of a group. Each pair's Jaccard similarity is
-verified on the whole shingle sets. Union-find over the links leaves one line per component.
+every two bands they share, and those of a band that are apart even then all with each other, in salted blocks. So no two
+lines that share a band stay apart unless their similarity was found too small; comparisons grow with the square of the
+lines of a band that are not alike. Each pair's Jaccard similarity is verified on the whole shingle sets. Union-find over
+the links leaves one line per component.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ SHINGLE, BANDS, BAND_ROWS = 12, 8, 3
 SIMILAR = (4, 5)
 #: Lines are joined by 64-bit hashes; a second hash finds the lines whose first is shared.
 SECOND = 0x5EED
+#: Lines of a block; the lines of a band are compared block by block.
+BLOCK = 512
 
 
 def shingles(line: Column) -> Column:
@@ -58,6 +62,24 @@ def _bucketed(rows: DataFrame, own: bool = False) -> DataFrame:
     return materialize(dealt.join(spread.hint("shuffle_hash"), "band"), "line-members")
 
 
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of (band, id, pivot), the (band, id, root) that aren't pivots, of bands whose lines have several roots."""
+    placed = members.where("id <> pivot").select("band", "id").join(small_or_shuffled(roots.withColumnRenamed("node", "id")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
+    return placed.join(small_or_shuffled(mixed), "band", "left_semi")
+
+
+def _all_pairs(apart: DataFrame) -> DataFrame:
+    """Every pair (a, b) of lines that share a band and have different roots, once; of (band, id, root). A band's lines are
+    dealt over blocks, and every two blocks meet under a key of their own."""
+    sized = apart.join(apart.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "band")
+    sized = sized.withColumn("own", F.pmod(F.xxhash64("id", "band"), F.col("blocks")))
+    left = sized.select("band", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("own").alias("low"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("high"))
+    right = sized.select("band", F.col("id").alias("b"), F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("low"), F.col("own").alias("high"))
+    met = left.join(right, ["band", "low", "high"]).where("ra <> rb and (low < high or a < b)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def line_components(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), first_doc, first_line, kept for each line of each text of docs that isn't blank.
 
@@ -91,15 +113,21 @@ def line_components(docs: DataFrame) -> DataFrame:
     roots = connected_components(near)
 
     # Lines of one band that are still apart are bucketed anew by every two bands of theirs, and compared with those pivots.
-    placed = members.where("id <> pivot").select("band", "id").join(small_or_shuffled(roots.withColumnRenamed("node", "id")), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-    apart = materialize(placed.join(small_or_shuffled(mixed), "band", "left_semi").select("id").distinct(), "line-apart")
+    stars = lambda: roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    apart = materialize(_apart(members, roots).select("id").distinct(), "line-apart")
     if not apart.isEmpty():
         two = F.array(*[F.xxhash64(F.lit(-1), F.col("bands")[i], F.col("bands")[j]) for i in range(BANDS) for j in range(i)])
         again = _bucketed(signed.join(small_or_shuffled(apart), "id", "left_semi").select("id", F.explode(two).alias("band")), own=True)
         more = again.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = connected_components(stars.unionByName(_links(more, texts)))
+        roots = connected_components(stars().unionByName(_links(more, texts)))
+        # Then all that are apart even now are compared with each other.
+        rest = materialize(_apart(members, roots), "line-rest")
+        if not rest.isEmpty():
+            found = materialize(_links(_all_pairs(rest), texts), "line-links")
+            if not found.isEmpty():
+                roots = connected_components(stars().unionByName(found))
+            drop_table(found)
+        drop_table(rest)
         drop_table(again)
     for done in (signed, members, pairs, apart, near, texts):
         drop_table(done)

@@ -324,6 +324,21 @@ def test_lines_without_blanks_are_compared_whole(spark):
     assert first_lines(spark, text) == {i: i for i in range(n)} | {n: n, n + 1: n, n + 2: n + 2, n + 3: n + 2}
 
 
+def test_small_clusters_of_one_template_are_linked(spark):
+    rng = random.Random(12)
+    draw = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    template, text = draw(170), []
+    for _ in range(250):
+        own = draw(60)
+        text += [template + own, template + own[:24] + draw(1) + own[25:45] + draw(1) + own[46:]]
+    got = first_lines(spark, text)
+    sets = [{x[i : i + lines.SHINGLE] for i in range(len(x) - lines.SHINGLE + 1)} for x in text]
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    pairs = [i for i in range(0, 500, 2) if alike(sets[i], sets[i + 1])]
+    assert len(pairs) > 200 and not any(alike(sets[i], sets[j]) for i in range(0, 500, 2) for j in range(i))
+    assert np.mean([got[i] == got[i + 1] for i in pairs]) > 0.98
+
+
 def test_viterbi_pieces_agree_with_the_whole():
     rng = np.random.default_rng(4)
     model = transcripts.Model.fit(rng.random(3) * 9, rng.random((3, 3)) * 9, rng.random((3, int(np.prod(transcripts.SHAPE)))))
