@@ -339,6 +339,14 @@ def test_small_clusters_of_one_template_are_linked(spark):
     assert np.mean([got[i] == got[i + 1] for i in pairs]) > 0.98
 
 
+def test_lines_that_differ_in_case_or_two_words_are_linked(spark):
+    rng = random.Random(21)
+    line = words(rng, 60, [f"{a}{b}" for a in ("lorem", "ipsum", "dolor", "amet") for b in range(90)]).split()
+    other = [*line[:9], "erat", *line[10:40], "quis", *line[41:]]
+    text = [" ".join(line), " ".join(line).upper(), " ".join(other), "Some Short Title", "some short title"]
+    assert first_lines(spark, text) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
+
+
 def test_viterbi_pieces_agree_with_the_whole():
     rng = np.random.default_rng(4)
     model = transcripts.Model.fit(rng.random(3) * 9, rng.random((3, 3)) * 9, rng.random((3, int(np.prod(transcripts.SHAPE)))))
