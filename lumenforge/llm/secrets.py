@@ -25,7 +25,9 @@ BASE = {
     "hex": re.compile(r"[0-9a-f]{24,}"),
 }
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,512}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Where in a run a credential may begin besides its start: after what joins it to a name or path.
+JOINT = re.compile(r"[=/.]+")
 #: The fit's sample: so many values of base assignments, and so many ordinary words, at most.
 SAMPLE_VALUES, SAMPLE_DOCS = 600, 400
 DRAWN, ALPHA = 400, 0.05
@@ -56,7 +58,7 @@ class Automaton:
         self._grow(words)
         self._merge(math.sqrt(0.5 * math.log(2 / alpha)))
         self._freeze()
-        self.lengths = (min(map(len, words)), max(map(len, words)))
+        self.least = min(map(len, words))
         scores = sorted(self.loglik(w) / (len(w) + 1) for w in words)
         #: The format's weakest labelled credentials (1 in 100) set the least likelihood a character.
         self.floor = scores[len(scores) // 100]
@@ -147,16 +149,24 @@ class Automaton:
         del self.next, self.seen, self.via, self.ends, self.red
 
     def loglik(self, word: str) -> float:
+        return next((p for size, p in self.ends(word, 0) if size == len(word)), -math.inf)
+
+    def ends(self, run: str, start: int):
+        """(length, log likelihood) of the words that begin at a place of run, for every end at which one may stop: that of
+        the run, and before = / or . or a character that the automaton doesn't let pass."""
         at, total = 0, 0.0
-        for ch in word:
+        for i in range(start, len(run)):
+            ch = run[i]
             move = self.moves[at].get(ch)
             if move is None and ch in self.alphabet:
                 move = self.other[at]
+            if i > start and (move is None or ch in "=/."):
+                yield i - start, total + self.stop[at]
             if move is None:
-                return -math.inf
+                return
             at, p = move
             total += p
-        return total + self.stop[at]
+        yield len(run) - start, total + self.stop[at]
 
 
 class Background:
@@ -178,20 +188,23 @@ class Grammar:
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
         self.automata = {k: Automaton(sorted(v)) for k, v in sorted(labelled.items()) if v}
         self.background = Background(ordinary)
+        self.heads = tuple(FORMATS[k][0] for k in self.automata if k in FORMATS)
 
-    def score(self, token: str) -> tuple[float, str | None]:
-        """The best format's advantage over the background in nats, and its name if that is enough."""
-        best, name, base = -math.inf, None, None
+    def prefixes(self, run: str, at: int) -> list[tuple[int, float, str]]:
+        """(length, advantage over the background in nats, format) of the tokens that begin at a place of a run and count as
+        credentials: they end with the run or before a character that joins, and are likely enough under the format."""
+        out = []
         for k, a in self.automata.items():
-            if not a.lengths[0] <= len(token) <= a.lengths[1]:
-                continue
-            p = a.loglik(token)
-            if p / (len(token) + 1) < a.floor:
-                continue
-            base = self.background.loglik(token) if base is None else base
-            if p - base > best:
-                best, name = p - base, k
-        return best, name if best >= max(MARGIN_ALL, MARGIN * len(token)) else None
+            if k in FORMATS and not run.startswith(FORMATS[k][0], at):
+                continue  # the literal states let nothing else pass
+            for size, p in a.ends(run, at):
+                # No upper bound of lengths: a body draws on as it may.
+                if size < max(16, a.least) or p / (size + 1) < a.floor:
+                    continue
+                gain = p - self.background.loglik(run[at : at + size])
+                if gain >= max(MARGIN_ALL, MARGIN * size):
+                    out.append((size, gain, k))
+        return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -204,18 +217,38 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, k) for s, _, e, k in sorted(out)]
 
 
+def starts(run: str, heads: tuple[str, ...]) -> list[int]:
+    """The places of a run from which tokens are scored: its start, those after = / or ., and those of the formats' heads."""
+    at = {0, *(m.end() for m in JOINT.finditer(run))}
+    for head in heads:
+        i = run.find(head)
+        while i >= 0:
+            at.add(i)
+            i = run.find(head, i + 1)
+    return sorted(x for x in at if len(run) - x >= 16)
+
+
 def find(text: str, grammar: Grammar | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Base spans, and all spans by start. A candidate that overlaps a base span adds nothing."""
+    """Base spans, and all spans by start. A run of token characters is scored as a whole, and from every feasible start to
+    every feasible end: its own, and those before = / or . further on. Of the tokens that overlap the best by its
+    advantage stays. A candidate that overlaps a base span adds nothing."""
     base = base_spans(text)
     added = []
     for m in CANDIDATE.finditer(text) if grammar else ():
-        token = m[0].rstrip(".=-")
-        start, end = m.start(), m.start() + len(token)
-        if len(token) < 16 or any(s < end and start < e for s, e, _ in base):
+        run = m[0].rstrip(".=-")
+        if len(run) < 16:
             continue
-        _, kind = grammar.score(token)
-        if kind:
-            added.append((start, end, kind))
+        found = []
+        for i in starts(run, grammar.heads):
+            for size, gain, kind in grammar.prefixes(run, i):
+                s, e = m.start() + i, m.start() + i + size
+                if not any(x < e and s < y for x, y, _ in base):
+                    found.append((-gain, s, e, kind))
+        taken = []
+        for _, s, e, kind in sorted(found):
+            if not any(x < e and s < y for x, y, _ in taken):
+                taken.append((s, e, kind))
+        added += taken
     return base, sorted([*base, *added], key=lambda x: x[0]) if added else base
 
 

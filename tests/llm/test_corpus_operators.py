@@ -222,6 +222,18 @@ def test_secret_base_spans_against_the_patterns(docs, spark):
     assert rows[2].base_sha256 == rows[3].base_sha256 == hashlib.sha256(b"").hexdigest() and rows[2].spans == ""
 
 
+@pytest.fixture(scope="module")
+def grammar():
+    return secrets.Grammar(secrets.drawn(), ["the", "of", "internationalization", "thhetionthershently"] * 500)
+
+
+@pytest.mark.parametrize("context", ["key={}", "export GH={}", "https://maps.example/maps/api/js?key={}", "https://x.example/a/{}/b", "NAME={}", "a.{}", "x" * 500 + "/{}"])
+def test_secrets_joined_to_names_and_paths(grammar, context):
+    for kind, values in secrets.drawn(seed=99).items():
+        found = [[(t[s:e], k) for s, e, k in secrets.find(t, grammar)[1]] for t in map(context.format, values[:60])]
+        assert np.mean([any(k == kind and x == v.rstrip(".=-") for x, k in f) for v, f in zip(values, found)]) > 0.8, kind
+
+
 def test_grammar_merges_states():
     a = secrets.Automaton(secrets.drawn()["github"])
     assert 4 <= len(a.moves) <= 40
