@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import string
@@ -44,7 +45,7 @@ FORMATS = {
     "github": ("ghp_", _ALNUM, (36,)),
     "gitlab": ("glpat-", _ALNUM + "-_", (20,)),
     "google": ("AIza", _ALNUM + "-_", (35,)),
-    "jwt": ("eyJhbGciOi", _ALNUM + "-_.", (60, 90, 120)),
+    "jwt": ("eyJhbGciOi", _ALNUM + "-_.", (60, 90, 120, 200, 400, 800)),
     "slack": ("xoxb-", string.digits + "-" + _ALNUM, (40, 48)),
     "stripe": ("sk_live_", _ALNUM, (24, 32)),
 }
@@ -58,10 +59,17 @@ class Automaton:
         self._grow(words)
         self._merge(math.sqrt(0.5 * math.log(2 / alpha)))
         self._freeze()
-        self.least = min(map(len, words))
-        scores = sorted(self.loglik(w) / (len(w) + 1) for w in words)
-        #: The format's weakest labelled credentials (1 in 100) set the least likelihood a character.
-        self.floor = scores[len(scores) // 100]
+        self.least, self.most, self.head = min(map(len, words)), max(map(len, words)), len(os.path.commonprefix(words))
+        logs = [(self.loglik(w), w) for w in words]
+        self.mean = sum(p for p, _ in logs) / sum(len(w) + 1 - self.head for w in words)
+        #: The format's weakest labelled credentials (1 in 100) set the least likelihood; the spread about the mean a character
+        #: past the common head grows with the root of the length, so it holds for bodies of any length.
+        self.floor = sorted(self.typical(p, len(w)) for p, w in logs)[len(words) // 100]
+
+    def typical(self, p: float, size: int) -> float:
+        """How far the log likelihood of so long a word is above the mean, in units of its spread."""
+        n = max(1, size + 1 - self.head)
+        return (p - self.mean * n) / math.sqrt(n)
 
     def _grow(self, words):
         self.next, self.seen, self.via, self.ends = [{}], [0], [{}], [0]
@@ -197,9 +205,10 @@ class Grammar:
         for k, a in self.automata.items():
             if k in FORMATS and not run.startswith(FORMATS[k][0], at):
                 continue  # the literal states let nothing else pass
-            for size, p in a.ends(run, at):
-                # No upper bound of lengths: a body draws on as it may.
-                if size < max(16, a.least) or p / (size + 1) < a.floor:
+            # A format's bodies draw on as they may. The corpus' values have no head, so they would be walked from each start to
+            # the run's end: they are scored up to the longest labelled.
+            for size, p in a.ends(run if k in FORMATS else run[: at + a.most + 1], at):
+                if size < max(16, a.least) or k not in FORMATS and size > a.most or a.typical(p, size) < a.floor:
                     continue
                 gain = p - self.background.loglik(run[at : at + size])
                 if gain >= max(MARGIN_ALL, MARGIN * size):

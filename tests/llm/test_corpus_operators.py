@@ -234,6 +234,14 @@ def test_secrets_joined_to_names_and_paths(grammar, context):
         assert np.mean([any(k == kind and x == v.rstrip(".=-") for x, k in f) for v, f in zip(values, found)]) > 0.8, kind
 
 
+def test_secrets_of_any_length(grammar):
+    rng = random.Random(3)
+    head, body, _ = secrets.FORMATS["jwt"]
+    for n in (60, 150, 300, 700, 1500):
+        values = [head + "".join(rng.choices(body, k=n)) + "Z" for _ in range(30)]
+        assert np.mean([(4, 4 + len(v), "jwt") in secrets.find(f"see {v} there", grammar)[1] for v in values]) > 0.8, n
+
+
 def test_grammar_merges_states():
     a = secrets.Automaton(secrets.drawn()["github"])
     assert 4 <= len(a.moves) <= 40
