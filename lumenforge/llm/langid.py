@@ -11,12 +11,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import share, utf8
+from .common import share, small_or_shuffled, utf8
 
 #: Bytes of a segment, state size of each direction, segments that run side by side.
 SEGMENT, HIDDEN, ABREAST = 96, 8, 2048
-#: The fit's sample: at most so many documents of each language, and so many languages (the most frequent).
-SAMPLE_PER_LANG, MOST_LANGS = 600, 200
+#: The fit's sample: at most so many documents of each language; every language of the table is learned.
+SAMPLE_PER_LANG = 600
 STEPS, BATCH, RATE = 260, 192, 0.02
 UND = "und"
 LETTER = r"\p{L}"
@@ -175,10 +175,10 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Net | None:
     """Fits on a bounded sample of documents with a language, text and id that aren't held out, the same for the same table:
     of each language those with the least hashes of doc_id, and of each a part of SEGMENT characters at a hashed place."""
     usable = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).select("doc_id", "lang", "text")
-    counts = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS)
+    counts = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).groupBy("lang").count()
     h = F.xxhash64("doc_id")
     share = F.pmod(h, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = usable.join(F.broadcast(counts), "lang").where(share < F.lit(3.0 * per_lang) / F.col("count")).withColumn("h", h)
+    some = usable.join(small_or_shuffled(counts), "lang").where(share < F.lit(3.0 * per_lang) / F.col("count")).withColumn("h", h)
     place = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - SEGMENT + 1, F.lit(1))) + 1
     rows = some.select("lang", "h", "doc_id", F.substr("text", place.cast("int"), F.lit(SEGMENT)).alias("part")).withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("nth") <= per_lang)
     rows = rows.orderBy("lang", "nth").select("lang", "part").collect()

@@ -282,6 +282,12 @@ def test_language_id_on_held_out_documents(spark):
     assert by[1003].lang_pred == "xx" and 0 <= min(r.score for r in got) and max(r.score for r in got) <= 1
 
 
+def test_every_language_of_a_table_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "fit", lambda texts, labels: sorted(set(labels)))
+    rows = [(i, "kala maru", f"l{i % 230:03}") for i in range(230 * 12)]
+    assert langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")) == [f"l{i:03}" for i in range(230)]
+
+
 def test_raking_meets_marginals_and_the_table_form_agrees(spark, docs):
     rng = random.Random(2)
     rows = [(i, words(rng, rng.randint(1, 80)), rng.choice(["en", "fr", None]), rng.choice("abc"), rng.choice(["t1", "t2"])) for i in range(800)]
