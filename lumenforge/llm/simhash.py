@@ -6,6 +6,10 @@ none. The anchors of a half are the words of the perfect Hamming code of length
 within radius + 1 = 2 bits (15 or 16 in all), so that it meets each fingerprint one bit away at that one's home. Anchors are
 2**31-spaced keys of 26 free bits for each half. Homes are compared with all fingerprints of their anchor, and only the
 edges of a spanning forest leave the task, never all pairs.
+
+An anchor is in reach of 497 halves at most, so it is crowded only if a half near it has many fingerprints. Fingerprints of
+crowded anchors are dealt anew by each quarter of their other bits, one of which is equal where three differ; what is
+crowded even then is compared block by block. So no task holds more than a bounded group, whatever the fingerprints.
 """
 
 from __future__ import annotations
@@ -13,12 +17,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import drop_table, materialize, small_or_shuffled, utf8
 from .components import connected_components
 
 SHINGLE, BITS_APART, SEED = 3, 3, 42
+#: Fingerprints of one half from which the anchors in its reach count as crowded; fingerprints of a block beyond that.
+CROWD, BLOCK = 64, 8192
+#: Fingerprints that are expanded at once, some 31 rows each.
+ABREAST = 2048
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -81,8 +89,8 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _expand(batches):
     for b in batches:
         fp = b.column(0).to_numpy(zero_copy_only=False)
-        for i in range(0, len(fp), 100_000):
-            a, f, h = anchors(fp[i : i + 100_000])
+        for i in range(0, len(fp), ABREAST):
+            a, f, h = anchors(fp[i : i + ABREAST])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(f), pa.array(h)], ["anchor", "fp", "home"])
 
 
@@ -130,10 +138,55 @@ def _compare(batches, apart: int = BITS_APART):
         yield links(*kept)
 
 
+def _crowded(fps: DataFrame) -> DataFrame:
+    """The anchors in reach of halves that CROWD fingerprints or more have."""
+    halves = F.array(*[F.shiftrightunsigned("fp", 32 * side).bitwiseAND(F.lit(0x7FFFFFFF)).bitwiseOR(F.lit(side << 32)) for side in (0, 1)])
+    full = fps.select(F.explode(halves).alias("half")).groupBy("half").count().where(F.col("count") >= CROWD)
+
+    def reach(batches):
+        for b in batches:
+            half = b.column(0).to_numpy(zero_copy_only=False)
+            for side in (0, 1):
+                mine = (half[half >> 32 == side] & 0x7FFFFFFF) << (32 * side)
+                for i in range(0, len(mine), ABREAST):
+                    a, _, _ = anchors(mine[i : i + ABREAST])
+                    yield pa.RecordBatch.from_arrays([pa.array(a[a >> 32 == side])], ["anchor"])
+
+    return full.select("half").mapInArrow(reach, "anchor long").distinct()
+
+
+def _quarters(fp: str = "fp") -> Column:
+    """For each anchor row the keys of the four quarters of the 33 bits that its half leaves."""
+    other = F.when(F.col("anchor") >= F.lit(1 << 32), F.shiftrightunsigned(fp, 63).bitwiseOR(F.shiftleft(F.col(fp).bitwiseAND(F.lit(0xFFFFFFFF)), 1))).otherwise(F.shiftrightunsigned(fp, 31))
+    return F.array(*[F.xxhash64("anchor", F.lit(q), F.shiftright(other, at).bitwiseAND(F.lit((1 << n) - 1))) for q, (at, n) in enumerate(((0, 9), (9, 8), (17, 8), (25, 8)))])
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """key, fp, home with keys of large groups replaced by those of every two blocks of the group."""
+    large = rows.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).alias("blocks"))
+    large = materialize(large, "simhash-large")
+    if large.isEmpty():
+        drop_table(large)
+        return rows
+    dealt = rows.join(small_or_shuffled(large), "key", "left")
+    own = F.pmod(F.xxhash64("fp", "key"), F.col("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
+    return dealt.select(F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(pairs)).alias("key"), "fp", "home")
+
+
 def near_links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between different fingerprints of column fp at most three bits apart, enough to connect all that link."""
-    placed = fps.mapInArrow(_expand, "anchor long, fp long, home boolean")
-    return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "a long, b long")
+    spread = fps.repartition(max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "fp")
+    placed = spread.mapInArrow(_expand, "anchor long, fp long, home boolean")
+    compare = lambda rows: rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "a long, b long")
+    crowded = materialize(_crowded(fps), "simhash-crowded")
+    if crowded.isEmpty():
+        drop_table(crowded)
+        return compare(placed.withColumnRenamed("anchor", "key"))
+    known = small_or_shuffled(crowded)
+    calm = compare(placed.join(known, "anchor", "left_anti").withColumnRenamed("anchor", "key"))
+    full = placed.join(known, "anchor", "left_semi")
+    return calm.unionByName(compare(_blocks(full.select(F.explode(_quarters()).alias("key"), "fp", "home"))))
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
