@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def base_peak(intensity: Column) -> Column:
@@ -42,8 +42,47 @@ def backfill_entities(features: DataFrame, evidence: DataFrame) -> DataFrame:
     return features.join(e, on, "left").withColumn("chemical_entity", F.coalesce("_entity", "chemical_entity")).drop("sme_id", "_entity", "_line")
 
 
-def coordinate_sorted(reads: DataFrame) -> DataFrame:
-    """Rank of each read by chromosome, in order of first appearance in its run, then position, then index."""
-    first = F.min("read_index").over(Window.partitionBy("run_name", "chromosome"))
-    w = Window.partitionBy("run_name").orderBy("_first", "position", "read_index")
-    return reads.withColumn("_first", first).withColumn("sort_rank", F.row_number().over(w).cast("long") - 1).drop("_first")
+def run_is_detailed(spectra: DataFrame) -> DataFrame:
+    """run_name, detailed: whether any spectrum of the run has an activation method or an isolation window; only then are
+    those columns written for the run."""
+    some = lambda c: F.max(F.coalesce(F.col(c), F.lit(0)) != 0)
+    return spectra.groupBy("run_name").agg(F.greatest(*[some(c) for c in ("activation_method", "isolation_target_mz", "isolation_lower_offset", "isolation_upper_offset")]).alias("detailed"))
+
+
+def grid_extent(pixels: DataFrame, image: str = "image_id") -> DataFrame:
+    """Largest place of an image's pixels on each axis; places count from 1."""
+    return pixels.groupBy(image).agg(*[F.max(c).alias(f"max_{c}") for c in "xyz"])
+
+
+def run_totals(df: DataFrame, run: str = "run_name", length: str = "length") -> DataFrame:
+    return df.groupBy(run).agg(F.count("*").alias("rows"), F.sum(length).cast("long").alias("total_length"))
+
+
+def largest_by(df: DataFrame, run: str, index: str, value: str) -> DataFrame:
+    """Index and value of the greatest value of each run; of equal ones the first."""
+    return df.groupBy(run).agg(F.max_by(index, F.struct(value, -F.col(index))).alias("top_index"), F.max(value).alias("top"))
+
+
+def first_run(runs: DataFrame, spectrum_class: str) -> DataFrame:
+    """The first run by name of a class; none if there is none."""
+    return runs.where(F.col("spectrum_class") == spectrum_class).orderBy("run_name").limit(1)
+
+
+def sequence_digest(records: DataFrame) -> str:
+    """MD5 of name, newline, sequence, newline of all records in order of their names. Names are sorted over all tasks; the
+    sequences stream through the driver one by one, since a digest of this kind has no parts."""
+    import hashlib
+
+    digest = hashlib.md5()
+    for name, seq in records.select("name", "seq").orderBy("name").toLocalIterator():
+        digest.update(f"{name}\n".encode() + (bytes(seq) if not isinstance(seq, str) else seq.encode()) + b"\n")
+    return digest.hexdigest()
+
+
+def frames_of_peaks(peaks: DataFrame, frames: DataFrame, levels: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """Spectra of a run with ion mobility: the peaks of each frame in their stored order, frames without peaks empty."""
+    packed = peaks.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("nth", "mz", "intensity", "inv_ion_mobility"))).alias("p"))
+    wanted = frames.where(F.col("ms_level").isin(*levels))
+    out = wanted.join(packed, "frame", "left").withColumn("p", F.coalesce("p", F.array().cast(packed.schema["p"].dataType)))
+    arrays = {c: F.transform("p", lambda x, c=c: x[c]) for c in ("mz", "intensity", "inv_ion_mobility")}
+    return out.withColumns(arrays).withColumns({"length": F.size("mz").cast("long"), "base_peak_intensity": base_peak(F.col("intensity"))}).drop("p")

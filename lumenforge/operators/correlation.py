@@ -1,42 +1,111 @@
-"""Two-dimensional correlation spectroscopy on long tables (j: perturbation, k: variable, value)."""
+"""Two-dimensional correlation spectroscopy on long tables (j: perturbation, k: variable, value).
+
+Rows of the matrix are packed into blocks; a task multiplies blocks and sums up its products, so that what moves are one
+matrix of variables by variables a task and never pairs of rows.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+#: Rows of a block.
+BLOCK = 256
 
 
-def hilbert_noda(j1: str, j2: str):
-    """Entry of the Hilbert-Noda matrix: 0 on the diagonal, else 1 / (pi (j2 - j1))."""
+def hilbert_noda(j1: str, j2: str) -> Column:
+    """Entry of the Hilbert-Noda matrix: 0 on the diagonal, else 1 / (pi (j2 - j1)); j are row numbers."""
     return F.when(F.col(j1) == F.col(j2), 0.0).otherwise(1.0 / (math.pi * (F.col(j2) - F.col(j1))))
 
 
+def hilbert_noda_matrix(spark, m: int) -> DataFrame:
+    """j1, j2, value of the matrix of m rows."""
+    if m < 1:
+        raise ValueError("one row at least is needed")
+    return spark.range(m).select(F.col("id").alias("j1"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("j2")).withColumn("value", hilbert_noda("j1", "j2"))
+
+
+def _blocks(table: DataFrame, reference: DataFrame | None) -> tuple[DataFrame, list, int]:
+    """Blocks of centred rows (block, first, rows, values, row-major), the variables in order, and the number of rows."""
+    rows = table.select("j").distinct()
+    m = rows.count()
+    if m < 2:
+        raise ValueError("two perturbations at least are needed")
+    mean = table.groupBy("k").agg(F.avg("value").alias("c")) if reference is None else reference.select("k", F.col("value").alias("c"))
+    ks = [r[0] for r in mean.select("k").orderBy("k").collect()]
+    if reference is not None and {r[0] for r in table.select("k").distinct().collect()} != set(ks):
+        raise ValueError("the reference is of another shape")
+    ranked = rows.withColumn("at", F.row_number().over(Window.orderBy("j")).cast("long") - 1)
+    cells = table.join(mean, "k").join(ranked, "j").select((F.col("at") / BLOCK).cast("long").alias("block"), "at", "k", (F.col("value") - F.col("c")).alias("value"))
+    order = np.array(ks)
+
+    def build(key, part):
+        at, first = part.column("at").to_numpy(), key[0].as_py() * BLOCK
+        n = int(at.max()) - first + 1
+        dense = np.zeros((n, len(order)))
+        dense[at - first, np.searchsorted(order, part.column("k").to_numpy())] = part.column("value").to_numpy()
+        return pa.table({"block": [key[0].as_py()], "rows": [n], "values": [dense.ravel()]})
+
+    return cells.groupBy("block").applyInArrow(build, "block long, rows long, values array<double>"), ks, m
+
+
+def _summed(products: DataFrame, ks: list, m: int, name: str, kind: str) -> DataFrame:
+    """k1, k2 and the sum of the tasks' matrices, which come as rows (row, values)."""
+    cells = products.select("row", F.posexplode("values").alias("col", "v")).groupBy("row", "col").agg((F.sum("v") / (m - 1)).alias(name))
+    names = cells.sparkSession.createDataFrame(list(enumerate(ks)), f"n long, k {kind}")
+    one, two = names.toDF("row", "k1"), names.withColumn("n", F.col("n").cast("int")).toDF("col", "k2")
+    return cells.join(F.broadcast(one), "row").join(F.broadcast(two), "col").select("k1", "k2", name)
+
+
+def _emit(total, width: int):
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(list(total), pa.list_(pa.float64()))], ["row", "values"])
+
+
 def synchronous(table: DataFrame, reference: DataFrame | None = None) -> DataFrame:
-    """k1, k2, sync: covariance over j of the centred columns; the reference (k, value) replaces column means."""
-    d, m = _centred(table, reference)
-    one, two = d.toDF("j", "k1", "v1"), d.toDF("j", "k2", "v2")
-    return one.join(two, "j").groupBy("k1", "k2").agg((F.sum(F.col("v1") * F.col("v2")) / (m - 1)).alias("sync"))
+    """k1, k2, sync: covariance over j of the centred columns; the reference (k, value) replaces column means. A value that
+    the table lacks counts as its column's mean."""
+    blocks, ks, m = _blocks(table, reference)
+    width = len(ks)
+
+    def multiply(batches):
+        total = None
+        for b in batches:
+            for values in b.column(0):
+                d = values.values.to_numpy().reshape(-1, width)
+                total = d.T @ d if total is None else total + d.T @ d
+        yield from _emit(total, width)
+
+    return _summed(blocks.select("values").mapInArrow(multiply, "row long, values array<double>"), ks, m, "sync", dict(table.dtypes)["k"])
 
 
 def asynchronous(table: DataFrame, reference: DataFrame | None = None) -> DataFrame:
-    """k1, k2, async. The Hilbert-Noda transform of each column comes first, so pairs of j meet per variable only."""
-    d, m = _centred(table, reference)
-    one, two = d.toDF("j1", "k", "v1"), d.toDF("j2", "k", "v2")
-    turned = one.select("j1").distinct().join(F.broadcast(two.select("j2").distinct()), F.lit(True)).withColumn("n", hilbert_noda("j1", "j2"))
-    turned = turned.join(two, "j2").groupBy("j1", "k").agg(F.sum(F.col("n") * F.col("v2")).alias("t")).toDF("j", "k2", "t")
-    return d.toDF("j", "k1", "v1").join(turned, "j").groupBy("k1", "k2").agg((F.sum(F.col("v1") * F.col("t")) / (m - 1)).alias("async"))
+    """k1, k2, async: the same with the Hilbert-Noda transform of the columns, over row numbers of j in order. Every two
+    blocks meet once, under the number of the second; their products are summed where they are made."""
+    blocks, ks, m = _blocks(table, reference)
+    width, count = len(ks), -(-m // BLOCK)
+    left = blocks.select(F.col("block").alias("one"), F.col("values").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("block"))
+    met = left.join(blocks.select("block", F.col("values").alias("b")), "block").select("one", "a", F.col("block").alias("two"), "b")
+
+    def multiply(batches):
+        total = None
+        for batch in batches:
+            for one, a, two, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3)):
+                x, y = a.values.to_numpy().reshape(-1, width), b.values.to_numpy().reshape(-1, width)
+                gap = (two * BLOCK + np.arange(len(y)))[None, :] - (one * BLOCK + np.arange(len(x)))[:, None]
+                with np.errstate(divide="ignore"):
+                    noda = np.where(gap == 0, 0.0, 1.0 / (math.pi * gap))
+                part = x.T @ (noda @ y)
+                total = part if total is None else total + part
+        yield from _emit(total, width)
+
+    return _summed(met.mapInArrow(multiply, "row long, values array<double>"), ks, m, "async", dict(table.dtypes)["k"])
 
 
 def disrelation(both: DataFrame) -> DataFrame:
     """|sync| / (|sync| + |async|); NaN where both are 0."""
     total = F.abs("sync") + F.abs("async")
     return both.withColumn("disrelation", F.when(total > 0, F.abs("sync") / total).otherwise(F.lit(float("nan"))))
-
-
-def _centred(table: DataFrame, reference: DataFrame | None):
-    m = table.select("j").distinct().count()
-    if m < 2:
-        raise ValueError("two perturbations at least are needed")
-    mean = table.groupBy("k").agg(F.avg("value").alias("c")) if reference is None else reference.select("k", F.col("value").alias("c"))
-    return table.join(mean, "k").select("j", "k", (F.col("value") - F.col("c")).alias("value")), m

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .dataset import all_runs, runs_with_input
 from .functions import text as fn
@@ -31,6 +31,8 @@ def query(sql: str | None = None, *views: str):
 
 
 S, R = ", ".join(SPECTRUM), ", ".join(READ)
+#: Closed regions that are masked, the last one open-ended.
+REGIONS = [("R", 500, 510), ("R", 509, 600), ("A", 0, 4), ("N", 1999, 9 * 10**18)]
 
 
 @query(f"select {S} from v_spectra where ms_level = 2 and retention_time between 1000.0 and 9000000.0 and precursor_mz between 5.0 and 80.0 and base_peak_intensity >= 10", "spectra")
@@ -64,9 +66,9 @@ def base_peak_threshold(spectra, _):
     return p.Query().with_base_peak_intensity_at_least(40.0).on(spectra).select(*SPECTRUM)
 
 
-@query(f"select {R} from v_reads where chromosome = 'RF' and position >= 1000 and position < 9000", "reads")
+@query(f"select {R} from v_reads where chromosome = 'R' and position >= 100 and position < 900", "reads")
 def genomic_region(reads, _):
-    return reads.where(p.in_region("RF", 1000, 9000)).select(*READ)
+    return reads.where(p.in_region("R", 100, 900)).select(*READ)
 
 
 @query(f"select {R} from v_reads where (flags & 4) <> 0", "reads")
@@ -95,10 +97,10 @@ def unit_filter_capped(spectra, _):
     return p.UnitFilter(ms_level=2, max_au=100).on(spectra.withColumn("au_sequence", F.col("spectrum_index"))).select("dataset_id", "au_sequence")
 
 
-@query(f"select {R} from v_reads where chromosome = 'NO' and position between 5000 and 7000", "reads")
+@query(f"select {R} from v_reads where chromosome = 'N' and position between 500 and 700", "reads")
 def unit_filter_genomic(reads, _):
     units = reads.withColumn("spectrum_class", F.lit(5))
-    return p.UnitFilter(chromosome="NO", position_min=5000, position_max=7000).on(units).select(*READ)
+    return p.UnitFilter(chromosome="N", position_min=500, position_max=700).on(units).select(*READ)
 
 
 @query("select distinct run_name from v_provenance where role = 'system'", "provenance")
@@ -129,9 +131,9 @@ def first_differences(reads, _):
     return ix.first_differences(reads, "run_name", "read_index", "position").select(*READ, "delta")
 
 
-@query("select dataset_id, event_id from (select *, max(event_id) over (partition by dataset_id order by spectrum_index rows between unbounded preceding and 1 preceding) as most from v_spectra) where event_id <= most", "spectra")
+@query("select dataset_id, event_id from (select *, max(event_id) over (partition by dataset_id order by arrival rows between unbounded preceding and 1 preceding) as most from (select *, event_id * 7919 % 1000003 as arrival from v_spectra)) where event_id <= most", "spectra")
 def sequence_violations(spectra, _):
-    return ix.sequence_violations(spectra, sequence="event_id", arrival="spectrum_index").select("dataset_id", "event_id")
+    return ix.sequence_violations(spectra.withColumn("arrival", F.col("event_id") * 7919 % 1000003), sequence="event_id").select("dataset_id", "event_id")
 
 
 @query(f"select {S}, last_value(case when ms_level = 1 then base_peak_intensity end ignore nulls) over (partition by run_name order by spectrum_index rows between unbounded preceding and 1 preceding) as last_ms1_peak from v_spectra", "spectra")
@@ -146,9 +148,7 @@ def chromosome_order(reads, _):
 
 @query(f"select {R}, case when row_number() over (partition by run_name, read_name order by read_index) > 1 then concat(read_name, '#', cast(read_index as varchar)) else read_name end as unique_name from v_reads", "reads")
 def unique_read_names(reads, _):
-    named = reads.withColumn("key", F.struct("run_name", "read_name"))
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("read_index"))
-    return named.withColumn("unique_name", F.when(nth > 1, F.concat("read_name", F.lit("#"), F.col("read_index").cast("string"))).otherwise(F.col("read_name"))).select(*READ, "unique_name")
+    return ix.unique_names(reads, "read_name", "read_index", "run_name").select(*READ, "unique_name")
 
 
 @query(
@@ -179,8 +179,7 @@ def coarsen(table):
 
 @query("select e.vec_id, list_transform(embedding, lambda x: case when cast(x as double) < q.thr then 0.0::double else cast(x as double) end) as masked from embeddings e join (select vec_id, quantile_cont(cast(v as double), 0.5) as thr from (select vec_id, unnest(embedding) as v from embeddings) group by 1) q on e.vec_id = q.vec_id")
 def mask_below_quantile(table):
-    df = table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).withColumn("t", anon.quantile(F.col("e"), 0.5))
-    return df.select("vec_id", F.transform("e", lambda x: F.when(x < F.col("t"), 0.0).otherwise(x)).alias("masked"))
+    return table("embeddings").select("vec_id", anon.mask_below_quantile(F.col("embedding").cast("array<double>"), 0.5).alias("masked"))
 
 
 @query(f"select {R}, case when regexp_full_match(cigar, '([0-9]+[MIDNSHP=X])+') then cast(list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1), lambda x: cast(x as bigint))) as bigint) else 0 end as span from v_reads", "reads")
@@ -189,11 +188,11 @@ def cigar_span(reads, _):
 
 
 @query(
-    f"select {R} from v_reads r where exists (select 1 from (values ('RF', 5000, 5100), ('RF', 5090, 6000), ('AF', 0, 40), ('NO', 19990, 90000)) m(c, s, e) where m.c = r.chromosome and not (r.position + r.length - 1 < m.s or r.position > m.e))",
+    f"select {R} from v_reads r where exists (select 1 from (values ('R', 500, 510), ('R', 509, 600), ('A', 0, 4), ('N', 1999, 9000000000000000000)) m(c, s, e) where m.c = r.chromosome and not (r.position + r.length - 1 < m.s or r.position > m.e))",
     "reads",
 )
 def reads_in_mask_regions(reads, _):
-    regions = reads.sparkSession.createDataFrame([("RF", 5000, 5100), ("RF", 5090, 6000), ("AF", 0, 40), ("NO", 19990, 90000)], "chromosome string, start long, end long")
+    regions = reads.sparkSession.createDataFrame(REGIONS, "chromosome string, start long, end long")
     return anon.reads_in_regions(reads, regions).select(*READ)
 
 
@@ -202,17 +201,22 @@ def base_peaks(table):
     return table("embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"), agg.base_peak(F.col("embedding").cast("array<double>")).cast("float").alias("base_peak"))
 
 
-@query("select o_orderkey as frame, cast(count(l_orderkey) as bigint) as length, coalesce(max(l_quantity), 0) as base_peak_intensity from orders left join lineitem on l_orderkey = o_orderkey group by 1")
+@query("select o_orderkey as frame, cast(count(l_orderkey) as bigint) as length, coalesce(max(l_quantity), 0) as base_peak_intensity, coalesce(list(l_extendedprice order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) filter (where l_orderkey is not null), []) as mz, coalesce(list(l_quantity order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) filter (where l_orderkey is not null), []) as intensity from orders left join lineitem on l_orderkey = o_orderkey group by 1")
 def frames_with_peaks(table):
     frames = table("orders").select(F.col("o_orderkey").alias("frame"))
-    peaks = table("lineitem").select(F.col("l_orderkey").alias("frame"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("nth"), F.col("l_extendedprice").alias("mz"), F.col("l_quantity").cast("double").alias("intensity"))
-    return agg.pack_frames(frames, peaks, "frame", "nth").select("frame", "length", "base_peak_intensity")
+    peaks = table("lineitem").select(F.col("l_orderkey").alias("frame"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("nth"), F.col("l_extendedprice").alias("mz"), F.col("l_quantity").cast("double").alias("intensity"))
+    return agg.pack_frames(frames, peaks, "frame", "nth").select("frame", "length", "base_peak_intensity", "mz", "intensity")
 
 
-@query("select p_brand as chemical_entity, max(case when l_returnflag = 'A' then l_extendedprice end) as \"A\", max(case when l_returnflag = 'N' then l_extendedprice end) as \"N\", max(case when l_returnflag = 'R' then l_extendedprice end) as \"R\" from lineitem join part on p_partkey = l_partkey group by 1")
+_LAST = "arg_max(l_extendedprice, (l_orderkey % 1000) * 100000000000 + l_orderkey * 100000 + l_linenumber * 10000 + l_suppkey) filter (where l_returnflag = '{0}') as \"{0}\""
+
+
+@query("select p_brand as chemical_entity, " + ", ".join(_LAST.format(x) for x in "ANR") + " from lineitem join part on p_partkey = l_partkey group by 1")
 def abundance_pivot(table):
-    q = table("lineitem").join(table("part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_brand").alias("chemical_entity"), F.col("l_returnflag").alias("sample_ref"), F.col("l_extendedprice").alias("abundance"))
-    return agg.abundance_pivot(q, ["A", "N", "R"], "abundance")
+    """Values are written in an order of their own, so the last one of an entity isn't the largest."""
+    order = (F.col("l_orderkey") % 1000) * 100000000000 + F.col("l_orderkey") * 100000 + F.col("l_linenumber") * 10000 + F.col("l_suppkey")
+    q = table("lineitem").join(F.broadcast(table("part").select("p_partkey", "p_brand")), F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_brand").alias("chemical_entity"), F.col("l_returnflag").alias("sample_ref"), F.col("l_extendedprice").alias("abundance"), order.alias("written"))
+    return agg.abundance_pivot(q, ["A", "N", "R"], "written")
 
 
 @query("select chemical_entity, greatest(max(confidence_score), 0) as best_confidence from v_ids group by 1", "ids")
@@ -227,7 +231,7 @@ def frame_statistics(spectra, _):
 
 @query(f"select {R}, row_number() over (partition by run_name order by f, position, read_index) - 1 as sort_rank from (select *, min(read_index) over (partition by run_name, chromosome) as f from v_reads)", "reads")
 def coordinate_sort(reads, _):
-    return agg.coordinate_sorted(reads).select(*READ, "sort_rank")
+    return ix.coordinate_sorted(reads).select(*READ, "sort_rank")
 
 
 @query("select distinct run_name from v_spectra union select distinct run_name from v_reads where run_name not in (select run_name from v_spectra)", "spectra", "reads")
@@ -235,10 +239,9 @@ def all_runs_union(spectra, reads, _):
     return all_runs(spectra.select("run_name").distinct(), reads.select("run_name").distinct())
 
 
-@query("select run_name, max_by(spectrum_index, base_peak_intensity * 1000000 - spectrum_index / 1000000.0) as top_index, max(base_peak_intensity) as top from v_spectra group by 1", "spectra")
+@query("select run_name, arg_max(spectrum_index, (base_peak_intensity, -spectrum_index)) as top_index, max(base_peak_intensity) as top from v_spectra group by 1", "spectra")
 def largest_peak(spectra, _):
-    key = F.struct("base_peak_intensity", -F.col("spectrum_index"))
-    return spectra.groupBy("run_name").agg(F.max_by("spectrum_index", key).alias("top_index"), F.max("base_peak_intensity").alias("top"))
+    return agg.largest_by(spectra, "run_name", "spectrum_index", "base_peak_intensity")
 
 
 _LONG = "select vec_id as j, cast(k as bigint) as k, cast(e as double) as value from (select vec_id, unnest(embedding) as e, unnest(range(0, 64)) as k from embeddings)"
@@ -283,12 +286,13 @@ def nullish_numbers(table):
 @query("select doc_id, cast(length(text) as bigint) as n from documents")
 def codec_round_trip(table):
     """Texts packed as bases and decoded again, and entropy-coded: the codecs lose nothing."""
-    from .functions.codecs import pack_bases, rans_decode, rans_encode, unpack_bases, with_bytes
+    from .functions.codecs import BYTES, with_bytes
 
     df = table("documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
     df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)  # coding takes far longer than the move
-    df = with_bytes(with_bytes(df, "raw", "packed", pack_bases), "packed", "coded", lambda b: rans_encode(b))
-    df = with_bytes(with_bytes(df, "coded", "again", lambda b: rans_decode(b)), "again", "whole", unpack_bases)
+    (pack, unpack), (code, decode) = BYTES["bases"], BYTES["rans"]
+    df = with_bytes(with_bytes(df, "raw", "packed", pack), "packed", "coded", code)
+    df = with_bytes(with_bytes(df, "coded", "again", decode), "again", "whole", unpack)
     return df.where("raw = whole").select("doc_id", F.length(F.col("whole").cast("string")).cast("long").alias("n"))
 
 
@@ -299,7 +303,7 @@ def packet_round_trip(spectra, _):
 
     packets = write_units(spectra.withColumn("au_sequence", F.col("spectrum_index")))
     units = parse_units(read_packets(packets, "packet"))
-    return p.UnitFilter(ms_level=2, rt_max=9e6).on(units).drop("spectrum_class")
+    return p.UnitFilter(ms_level=2, rt_max=9e6).on(units).select("dataset_id", "au_sequence", "ms_level", "polarity", "retention_time", "precursor_mz", "base_peak_intensity")
 
 
 @query(f"select {R}, length as n from v_reads", "reads")
