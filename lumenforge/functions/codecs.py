@@ -459,3 +459,40 @@ def with_bytes(df: DataFrame, column: str, to: str, f: Callable[[list[bytes]], l
     from pyspark.sql import types as T
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(to, T.BinaryType())]))
+
+
+def numpress_columns(df: DataFrame, channels: tuple[str, ...]) -> DataFrame:
+    """df with each channel (array of doubles) as <channel>_deltas and <channel>_scale."""
+    from pyspark.sql import types as T
+
+    rest = [f for f in df.schema.fields if f.name not in channels]
+    schema = T.StructType([*rest, *(x for c in channels for x in (T.StructField(f"{c}_deltas", T.ArrayType(T.LongType())), T.StructField(f"{c}_scale", T.LongType())))])
+
+    def run(batches):
+        for b in batches:
+            cols = [b.column(b.schema.names.index(f.name)) for f in rest]
+            for c in channels:
+                made = [(None, None) if x is None else delta_encode(np.asarray(x, np.float64)) for x in b.column(b.schema.names.index(c)).to_pylist()]
+                cols += [pa.array([d for d, _ in made], pa.list_(pa.int64())), pa.array([None if s is None else min(s, (1 << 63) - 1) for _, s in made], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
+
+    return df.mapInArrow(run, schema)
+
+
+def numpress_restored(df: DataFrame, channels: list[str]) -> DataFrame:
+    """The channels again."""
+    from pyspark.sql import types as T
+
+    packed = [f"{c}_{x}" for c in channels for x in ("deltas", "scale")]
+    rest = [f for f in df.schema.fields if f.name not in packed]
+    schema = T.StructType([*rest, *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in channels)])
+
+    def run(batches):
+        for b in batches:
+            column = lambda n: b.column(b.schema.names.index(n))  # noqa: E731, B023
+            cols = [column(f.name) for f in rest]
+            for c in channels:
+                cols.append(pa.array([None if d is None else delta_decode(np.asarray(d, np.int64), s) for d, s in zip(column(f"{c}_deltas").to_pylist(), column(f"{c}_scale").to_pylist())], pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
+
+    return df.mapInArrow(run, schema)

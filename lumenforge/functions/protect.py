@@ -92,8 +92,9 @@ def unseal(sealed: Column, key: Column, data: Column) -> Column:
 
 def segment(sealed: Column, length: Column) -> Column:
     """iv, tag and ciphertext of sealed bytes, and the plain length; a clear value has neither iv nor tag."""
-    n = F.octet_length(sealed)
-    return F.struct(F.substring(sealed, 1, 12).alias("iv"), F.substring(sealed, n - 15, F.lit(16)).alias("tag"), F.substring(sealed, F.lit(13), n - 28).alias("ciphertext"), length.alias("length"))
+    parts = lambda s: F.struct(F.substring(s, 1, 12).alias("iv"), F.substring(s, F.octet_length(s) - 15, F.lit(16)).alias("tag"), F.substring(s, F.lit(13), F.octet_length(s) - 28).alias("ciphertext"), length.alias("length"))
+    # Bound by a lambda: each evaluation of the sealed value would draw a nonce of its own.
+    return F.transform(F.array(sealed), parts)[0]
 
 
 def clear_segment(value: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Fixed values that read as no number.
@@ -70,11 +71,9 @@ def isa_cell(text: Column) -> Column:
 
 def format_g(column: Column, digits: int = 6) -> Column:
     """Numbers as C's %g writes them, with so many digits. An Arrow function, since Java's %g is another thing."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def g(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: None if x is None or x != x and x is None else format(x, f".{digits}g"))
+        return values.map(lambda x: None if x is None else format(x, f".{digits}g"))
 
     return g(column.cast("double"))
 
@@ -125,7 +124,7 @@ def json_escape(text: str) -> str:
     """A JSON string: control characters, quotes and backslashes escaped, all else as it is."""
     import json
 
-    return json.dumps(text, ensure_ascii=False).replace("\x7f", "\x7f")
+    return json.dumps(text, ensure_ascii=False)
 
 
 def canonical_json(value) -> str:
@@ -161,8 +160,6 @@ def zlib_base64(column: Column, compress: bool = True) -> Column:
     import base64
     import zlib
 
-    import pandas as pd
-
     @F.pandas_udf("string")
     def made(values: pd.Series) -> pd.Series:
         return values.map(lambda x: None if x is None else base64.b64encode(zlib.compress(bytes(x)) if compress else bytes(x)).decode())
@@ -175,8 +172,6 @@ def base64_zlib(column: Column, compressed: bool = True) -> Column:
     import base64
     import zlib
 
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def made(values: pd.Series) -> pd.Series:
         return values.map(lambda x: None if x is None else zlib.decompress(base64.b64decode(x)) if compressed and x else base64.b64decode(x))
@@ -196,8 +191,6 @@ def hmac_sha256(column: Column, key: bytes) -> Column:
 
 def crc32c(column: Column) -> Column:
     """Castagnoli checksum of bytes."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def made(values: pd.Series) -> pd.Series:
         from ..streaming.packets import crc32c_many

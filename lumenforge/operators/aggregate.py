@@ -84,5 +84,5 @@ def frames_of_peaks(peaks: DataFrame, frames: DataFrame, levels: tuple[int, ...]
     packed = peaks.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("nth", "mz", "intensity", "inv_ion_mobility"))).alias("p"))
     wanted = frames.where(F.col("ms_level").isin(*levels))
     out = wanted.join(packed, "frame", "left").withColumn("p", F.coalesce("p", F.array().cast(packed.schema["p"].dataType)))
-    arrays = {c: F.transform("p", lambda x, c=c: x[c]) for c in ("mz", "intensity", "inv_ion_mobility")}
+    arrays = {c: F.col("p").getField(c) for c in ("mz", "intensity", "inv_ion_mobility")}
     return out.withColumns(arrays).withColumns({"length": F.size("mz").cast("long"), "base_peak_intensity": base_peak(F.col("intensity"))}).drop("p")

@@ -131,7 +131,7 @@ def unmapped() -> Column:
 
 
 def with_read_flags(reads: DataFrame) -> DataFrame:
-    return reads.withColumns({"is_mapped": ~has_flag(UNMAPPED), "is_paired": has_flag(PAIRED), "is_reverse": has_flag(REVERSE), "is_secondary": has_flag(SECONDARY), "is_supplementary": has_flag(SUPPLEMENTARY)})
+    return reads.withColumns({"is_mapped": ~has_flag(UNMAPPED), "is_paired": has_flag(PAIRED), "is_reverse": has_flag(REVERSE), "is_secondary": has_flag(SECONDARY), "is_supplementary": has_flag(SUPPLEMENTARY)} | ({"read_length": F.length("seq").cast("long")} if "seq" in reads.columns else {}))
 
 
 def at_index(df: DataFrame, index: str, i: int, size: int) -> DataFrame:
@@ -153,3 +153,13 @@ def isolation_window(target="isolation_target_mz", lower="isolation_lower_offset
 
 def cv_params_for(params: str, field: str, value: str) -> Column:
     return F.filter(params, lambda p: p[field] == value)
+
+
+def has_cv_param(params: str, field: str, value: str) -> Column:
+    return F.exists(params, lambda p: p[field] == value)
+
+
+def without_cv_param(params: Column, accession: Column) -> Column:
+    """The list without its first element of an accession; as it is if there is none."""
+    at = F.array_position(F.transform(params, lambda p: p["accession"]), accession)
+    return F.when(at > 0, F.filter(params, lambda _, i: i + 1 != at)).otherwise(params)

@@ -21,9 +21,14 @@ def local(path: str) -> str | None:
     return unquote(u.path) if u.scheme == "file" else path if not u.scheme else None
 
 
-def _elsewhere(path: str):
+def filesystem(path: str):
+    """The file system of a path and the path's name in it."""
     import pyarrow.fs
 
+    here = local(path)
+    if here is not None:
+        return pyarrow.fs.LocalFileSystem(), here
+
     return pyarrow.fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
 
 
@@ -32,7 +37,7 @@ def open_range(path: str):
     here = local(path)
     if here is not None:
         return open(here, "rb")
-    fs, name = _elsewhere(path)
+    fs, name = filesystem(path)
     return fs.open_input_file(name)
 
 
@@ -46,7 +51,7 @@ def put(path: str, data: bytes) -> None:
             f.write(data)
         os.replace(part, here)
         return
-    fs, name = _elsewhere(path)
+    fs, name = filesystem(path)
     with fs.open_output_stream(name) as f:
         f.write(data)
 
@@ -66,7 +71,7 @@ def write_parts(rows: DataFrame, path: str, suffix: str) -> None:
             part = f"{here}/.{name}.{uuid.uuid4().hex}"
             out = open(part, "wb")
         else:
-            fs, folder = _elsewhere(path)
+            fs, folder = filesystem(path)
             out = fs.open_output_stream(f"{folder}/{name}")
         try:
             with out:
