@@ -1,19 +1,21 @@
 """Line dedup: fuzzy lines by MinHash, in DataFrame functions only.
 
-A line's shingles are SHINGLE characters in a row at every place, within words and across blanks. Their MinHash signature is
-built by one aggregation, whose minima are combined before the shuffle. Lines that share a band's hash are
-compared with the band's pivot; lines of a band that still fall into different components are compared with the pivots of
-every two bands they share, and those of a band that are apart even then all with each other, in salted blocks. So no two
-lines that share a band stay apart unless their similarity was found too small; comparisons grow with the square of the
-lines of a band that are not alike. Each pair's Jaccard similarity is verified on the whole shingle sets. Union-find over
-the links leaves one line per component.
+A line's shingles are SHINGLE characters in a row at every place, within words and across blanks. Their MinHash signature has
+one minimum for each of 24 classes of hashes (one-permutation hashing); a class without any takes that of one of two others,
+else of the whole line. Rows of
+shingles are aggregated to signatures; those that can hardly be a minimum, by their value and the line's length, don't get
+that far. Lines that share a band's hash are compared with the band's pivot; lines of a band that still fall into different
+components are compared all with each other, in salted blocks. So no two lines that share a band stay apart unless their
+similarity was found too small; comparisons grow with the square of the lines of a band that are not alike. Long lines of
+which less than half a signature agrees aren't compared any further; for all others the Jaccard similarity is verified on the
+whole shingle sets. Union-find over the links leaves one line per component.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import columns_free, drop_table, materialize, small_or_shuffled
+from .common import columns_free, drop_table, materialize, small_bytes_or_shuffled, small_or_shuffled
 from .components import connected_components
 
 SHINGLE, BANDS, BAND_ROWS = 8, 8, 3
@@ -23,6 +25,13 @@ SIMILAR = (4, 5)
 SECOND = 0x5EED
 #: Lines of a block; the lines of a band are compared block by block.
 BLOCK = 512
+#: Shingles of a line that may reach its signature, on average: 3 a class, so that 5 in 100 classes stay empty.
+REACH = 72
+#: Empty classes beyond which a line has fewer different shingles than its length tells.
+FEW_EMPTY = 6
+#: Equal classes of 24 from which long lines are verified: 2 in 10,000 pairs at a similarity of 0.8 have fewer. In short lines,
+#: of fewer shingles than LONG, classes depend on each other, and all are verified.
+AGREE, LONG = 12, 100
 
 
 def shingles(line: Column) -> Column:
@@ -33,6 +42,57 @@ def shingles(line: Column) -> Column:
     return F.transform(F.array(F.encode(line, "UTF-32")), at)[0]
 
 
+def _minima(lines: DataFrame, reach: int | None) -> DataFrame:
+    """id, size (number of shingles with repeats) and the least value m0 to m23 of each class of the shingles of lines (id,
+    line), an id once; null for a class without any within reach, that is, among the lowest `reach` of `size`."""
+    classes, wide = BANDS * BAND_ROWS, F.encode("line", "UTF-32")
+    sized = lines.select("id", wide.alias("w")).withColumn("size", F.greatest(F.lit(1), F.shiftright(F.octet_length("w"), 2) - (SHINGLE - 1)))
+    # Exploded places keep to generated code, which hashes some ten times as many shingles a second as a lambda.
+    each = sized.select("id", "size", "w", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("at"))
+    each = each.select("id", "size", "at", F.xxhash64(F.substring("w", F.col("at") * 4 + 1, F.lit(4 * SHINGLE))).alias("h"))
+    each = each.select("id", "size", "at", F.shiftrightunsigned("h", 33).cast("int").alias("v"), F.pmod("h", F.lit(classes)).cast("int").alias("class"))
+    if reach:  # the first shingle stays, without a class, so that every line has a row
+        near = F.col("v") < F.lit(2.0**31 * reach) / F.col("size")
+        each = each.where(near | (F.col("at") == 0)).withColumn("class", F.when(near, F.col("class")).otherwise(-1))
+    return each.groupBy("id").agg(F.first("size").alias("size"), F.min("v").alias("least"), *[F.min(F.when(F.col("class") == i, F.col("v"))).alias(f"m{i}") for i in range(classes)])
+
+
+def _signatures(lines: DataFrame, near: DataFrame) -> DataFrame:
+    """id, size, bands (array) and sig (three longs, a byte for each class) of lines (id, line), once an id; near holds their
+    minima within reach."""
+    classes = BANDS * BAND_ROWS
+    empty = sum((F.col(f"m{i}").isNull().cast("int") for i in range(classes)), F.lit(0))
+    # Lines that repeat a few shingles may have hardly any within reach: for them all are looked at.
+    poor = (empty > FEW_EMPTY) & (F.col("size") > REACH)
+    again = _minima(lines.join(small_or_shuffled(near.where(poor).select("id")), "id", "left_semi"), None)
+    every = near.where(~poor).unionByName(again)
+    third = classes // 3
+    filled = [F.coalesce(f"m{i}", f"m{(i + third) % classes}", f"m{(i + 2 * third) % classes}", "least") for i in range(classes)]
+    found = every.select("id", "size", F.array(*filled).alias("m"))
+    band = [F.xxhash64(F.lit(b), *[F.col("m")[b * BAND_ROWS + r] for r in range(BAND_ROWS)]) for b in range(BANDS)]
+    packed = []
+    for part in range(0, classes, 8):
+        packed.append(F.lit(0).cast("long"))
+        for i in range(part, min(part + 8, classes)):
+            packed[-1] = packed[-1].bitwiseOR(F.shiftleft(F.hash(F.col("m")[i]).cast("long").bitwiseAND(F.lit(255)), 8 * (i - part)))
+    return found.select("id", "size", F.array(*band).alias("bands"), *[p.alias(f"sig{i}") for i, p in enumerate(packed)])
+
+
+def _agreeing(x: str = "a", y: str = "b") -> Column:
+    """Whether two lines, by their columns size and sig0 to sig2 with suffixes, are short or agree in AGREE classes."""
+    unlike = F.lit(0)
+    for i in range(3):
+        d = F.col(f"sig{i}{x}").bitwiseXOR(F.col(f"sig{i}{y}"))
+        for by in (4, 2, 1):  # the lowest bit of each byte becomes whether the byte isn't 0
+            d = d.bitwiseOR(F.shiftrightunsigned(d, by))
+        unlike = unlike + F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
+    return (F.least(f"size{x}", f"size{y}") < LONG) | (unlike <= BANDS * BAND_ROWS - AGREE)
+
+
+def _sided(signed: DataFrame, side: str) -> DataFrame:
+    return signed.select(F.col("id").alias(side), *[F.col(c).alias(c + side) for c in ("size", "sig0", "sig1", "sig2")])
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, line: the lines of each text that aren't blank, trimmed and in lower case."""
     every = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -50,31 +110,29 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(near).select("a", "b")
 
 
-def _bucketed(rows: DataFrame, own: bool = False) -> DataFrame:
-    """Of (id, band), those whose band has several ids, with the band's pivot: its least id, or, if bands are to draw pivots
-    of their own, the id that is least when xored with the band."""
-    dealt = rows.repartition("band")  # one exchange for both uses, without the minima of buckets of one
-    mixed = F.col("id").bitwiseXOR(F.col("band") if own else F.lit(0))
-    spread = dealt.groupBy("band").agg(F.min(mixed).alias("least"), F.max(mixed).alias("most")).where("least <> most")
-    spread = spread.select("band", F.col("least").bitwiseXOR(F.col("band") if own else F.lit(0)).alias("pivot"))
-    return materialize(dealt.join(spread.hint("shuffle_hash"), "band"), "line-members")
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """Of (id, band), those whose band has several ids, with the band's pivot, its least id. Minima are combined before the
+    exchange, and the join is one that Spark can split."""
+    spread = rows.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot <> most").select("band", "pivot")
+    return materialize(rows.join(small_or_shuffled(spread), "band"), "line-members")
 
 
 def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Of (band, id, pivot), the (band, id, root) that aren't pivots, of bands whose lines have several roots."""
     placed = members.where("id <> pivot").select("band", "id").join(small_or_shuffled(roots.withColumnRenamed("node", "id")), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-    return placed.join(small_or_shuffled(mixed), "band", "left_semi")
+    return placed.join(mixed, "band", "left_semi")
 
 
 def _all_pairs(apart: DataFrame) -> DataFrame:
-    """Every pair (a, b) of lines that share a band and have different roots, once; of (band, id, root). A band's lines are
-    dealt over blocks, and every two blocks meet under a key of their own."""
+    """Every pair (a, b) of lines that share a band, have different roots and agree, once; of (band, id, root) and their
+    signatures. A band's lines are dealt over blocks, and every two blocks meet under a key of their own."""
     sized = apart.join(apart.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "band")
     sized = sized.withColumn("own", F.pmod(F.xxhash64("id", "band"), F.col("blocks")))
-    left = sized.select("band", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("own").alias("low"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("high"))
-    right = sized.select("band", F.col("id").alias("b"), F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("low"), F.col("own").alias("high"))
-    met = left.join(right, ["band", "low", "high"]).where("ra <> rb and (low < high or a < b)")
+    about = lambda x: [F.col("id").alias(x), F.col("root").alias(f"r{x}"), *[F.col(c).alias(c + x) for c in ("size", "sig0", "sig1", "sig2")]]
+    left = sized.select("band", *about("a"), F.col("own").alias("low"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("high"))
+    right = sized.select("band", *about("b"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("low"), F.col("own").alias("high"))
+    met = left.join(right, ["band", "low", "high"]).where("ra <> rb and (low < high or a < b)").where(_agreeing())
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -86,48 +144,39 @@ def line_components(docs: DataFrame) -> DataFrame:
     similarity of 0.8 or more, are linked. Null and empty texts have no lines; of repeated documents the copies' lines go,
     and lines alike in doc_id and line_no are kept or dropped together; an empty table gives no rows.
     """
-    lines = _lines(docs)
-    hashed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(SECOND), "line").alias("second"))
-    places = materialize(hashed, "line-places")
-    clash = materialize(places.groupBy("id").agg(F.min("second").alias("x"), F.max("second").alias("y")).where("x <> y").select("id"), "line-clashes")
+    # Lines are cut and written once; what follows reads the columns it needs.
+    lines = materialize(_lines(docs).select("doc_id", "line_no", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(SECOND), "line").alias("second"), "line"), "lines")
+    clash = materialize(lines.groupBy("id").agg(F.min("second").alias("x"), F.max("second").alias("y")).where("x <> y").select("id"), "line-clashes")
     if not clash.isEmpty():
         shared = small_or_shuffled(clash.withColumn("clash", F.lit(True)))
         told = lambda df: df.join(shared, "id", "left").withColumn("id", F.when(F.col("clash"), F.col("second")).otherwise(F.col("id"))).drop("clash")
     else:
         told = lambda df: df
-    places = told(places).drop("second")
-    named = told(lines.select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(SECOND), "line").alias("second"), "line")).drop("second")
-
-    # Signatures: a row a shingle, combined to a row a line before anything moves.
-    each = named.select("id", F.explode(shingles(F.col("line"))).alias("h"))
-    mins = [F.min(F.hash("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS * BAND_ROWS)]
-    band = [F.xxhash64(F.lit(b), *[f"m{b * BAND_ROWS + r}" for r in range(BAND_ROWS)]) for b in range(BANDS)]
-    signed = materialize(each.groupBy("id").agg(*mins).select("id", F.array(*band).alias("bands")), "line-bands")
+    places = told(lines.drop("line")).drop("second")
+    named = told(lines.select("id", "second", "line")).drop("second")
+
+    minima = materialize(_minima(named, REACH), "line-minima")
+    signed = materialize(_signatures(named, minima), "line-signatures")
+    drop_table(minima)
     members = _bucketed(signed.select("id", F.explode("bands").alias("band")))
-    pairs = materialize(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "line-pairs")
-    wanted = members.select("id").distinct()
-    texts = materialize(named.join(small_or_shuffled(wanted), "id", "left_semi").dropDuplicates(["id"]).select("id", "line"), "line-texts")
-    near = materialize(_links(pairs, texts), "line-links")
+    pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = materialize(pairs.join(_sided(signed, "a"), "a").join(_sided(signed, "b"), "b").where(_agreeing()).select("a", "b"), "line-pairs")
+    rest_ids = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = lambda p: named.join(small_or_shuffled(rest_ids(p)), "id", "left_semi").dropDuplicates(["id"]).select("id", "line")
+    near = materialize(_links(pairs, texts(pairs)), "line-links")
     roots = connected_components(near)
 
-    # Lines of one band that are still apart are bucketed anew by every two bands of theirs, and compared with those pivots.
+    # Lines of one band that are still apart are compared with each other.
     stars = lambda: roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    apart = materialize(_apart(members, roots).select("id").distinct(), "line-apart")
-    if not apart.isEmpty():
-        two = F.array(*[F.xxhash64(F.lit(-1), F.col("bands")[i], F.col("bands")[j]) for i in range(BANDS) for j in range(i)])
-        again = _bucketed(signed.join(small_or_shuffled(apart), "id", "left_semi").select("id", F.explode(two).alias("band")), own=True)
-        more = again.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        roots = connected_components(stars().unionByName(_links(more, texts)))
-        # Then all that are apart even now are compared with each other.
-        rest = materialize(_apart(members, roots), "line-rest")
-        if not rest.isEmpty():
-            found = materialize(_links(_all_pairs(rest), texts), "line-links")
-            if not found.isEmpty():
-                roots = connected_components(stars().unionByName(found))
-            drop_table(found)
-        drop_table(rest)
-        drop_table(again)
-    for done in (signed, members, pairs, apart, near, texts):
+    rest = materialize(_apart(members, roots).join(signed.drop("bands"), "id"), "line-rest")
+    if not rest.isEmpty():
+        more = materialize(_all_pairs(rest).join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+        found = materialize(_links(more, texts(more)), "line-links")
+        if not found.isEmpty():
+            roots = connected_components(stars().unionByName(found))
+        drop_table(found)
+        drop_table(more)
+    for done in (signed, members, pairs, near, rest):
         drop_table(done)
 
     owned = places.join(small_or_shuffled(roots.withColumnRenamed("node", "id")), "id", "left").select("doc_id", "line_no", F.coalesce("root", "id").alias("root"))
@@ -141,7 +190,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs, all rows and columns, with the lines that line_components drops taken out of text; blank lines stay."""
     gone, key = columns_free(docs, "gone", "key")
     dropped = line_components(docs).where("not kept").groupBy(F.coalesce("doc_id", F.lit(0)).alias(key), F.col("doc_id").isNull().alias("none")).agg(F.collect_set("line_no").alias(gone))
-    marked = docs.join(small_or_shuffled(dropped), (F.coalesce(docs["doc_id"], F.lit(0)) == dropped[key]) & (docs["doc_id"].isNull() == dropped["none"]), "left")
+    marked = docs.join(small_bytes_or_shuffled(dropped, F.size(gone).cast("long") * 4), (F.coalesce(docs["doc_id"], F.lit(0)) == dropped[key]) & (docs["doc_id"].isNull() == dropped["none"]), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)
     return marked.select(*[text.alias("text") if c == "text" else marked[f"`{c}`"] for c in docs.columns])
