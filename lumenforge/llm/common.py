@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
 import pickle
 import uuid
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Rows that may be broadcast, and the bytes a row of such a table takes at most.
-BROADCAST_ROWS = 400_000
+#: Rows that may be broadcast, for tables of ids, hashes and numbers, and bytes, for those with texts or arrays.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where it is unset (tests, one machine) a folder below the warehouse."""
+    """The shared folder of spark.checkpoint.dir. Where it is unset, a folder below the warehouse if the session runs in one
+    process, as in tests; on a cluster that is an error, since other machines don't see a folder of this one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.shared"
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
             spark.sparkContext.setCheckpointDir(found)
@@ -32,17 +37,40 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    _written[path] = spark
+    if len(_written) == 1:
+        atexit.register(drop_all)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that materialize() wrote and that are still there. Those behind a result can only go when it has been used.
+_written: dict[str, SparkSession] = {}
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the files behind a table that materialize() returned."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, root)
+        _written.pop(next((p for p in _written if p.rsplit("/", 1)[-1] == root.rsplit("/", 1)[-1]), None), None)
+
+
+def drop_all(spark: SparkSession | None = None) -> None:
+    """Deletes what materialize() wrote and nobody has dropped, of one session or all; called when the program ends, and to be
+    called by programs that run on, once their results are written."""
+    for path, own in list(_written.items()):
+        if spark is None or own is spark:
+            _written.pop(path)
+            try:
+                delete(own, path)
+            except Exception:  # noqa: BLE001  the session may have ended before
+                if spark is not None:
+                    raise
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -55,6 +83,12 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if bounded(df, rows) else df
 
 
+def small_bytes_or_shuffled(df: DataFrame, size: Column, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The same for rows with texts or arrays: size is a row's bytes, of which all may have so many together."""
+    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and total <= most else df
+
+
 def share(spark: SparkSession, value):
     """Broadcasts value, of a bounded size; returns a function that yields it in a worker, which needn't have this package."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))

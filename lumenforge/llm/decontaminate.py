@@ -7,12 +7,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import columns_free, share, utf8
+from .common import columns_free, drop_table, materialize, share, utf8
 
 WINDOW = 10
-#: The benchmark is broadcast up to so many bytes of text, in one piece; beyond, in pieces of that size, one scan for each.
+#: The benchmark is broadcast up to so many bytes of text, in one piece; beyond, in pieces of that size, one scan for each, so
+#: that a task holds one piece's index at a time.
 PIECE_BYTES = 32 << 20
 #: On UTF-8 bytes after A-Z were lower-cased, this is [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ on code points.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -24,22 +25,29 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class WindowIndex:
-    """Windows of benchmark items by length: sorted hashes, and the words and items behind each."""
+    """Windows of benchmark items by length, as arrays: sorted hashes and the place of each window among all words, which are
+    numbers of a vocabulary. Built once, on the driver, and sent as it is: some 25 bytes a word."""
 
     def __init__(self, items, window: int = WINDOW):
-        self.ids, self.windows, self.items = {}, {}, []
+        self.ids, self.items, parts, starts = {}, [], [], {}
+        at = 0
         for item, text in items:
             w = words(text)
-            size = min(window, len(w))
-            if size:
-                self.items.append("" if item is None else str(item))
-                for i in range(len(w) - size + 1):
-                    self.windows.setdefault(size, {}).setdefault(tuple(w[i : i + size]), set()).add(self.items[-1])
-        for found in self.windows.values():
-            for key in found:
-                for w in key:
-                    self.ids.setdefault(w, len(self.ids) + 1)
-        self.hashes = {size: np.unique([self._roll(np.array([self.ids[w] for w in key], np.uint64), size)[0] for key in found]) for size, found in self.windows.items()}
+            if w:
+                size = min(window, len(w))
+                starts.setdefault(size, []).append(np.arange(at, at + len(w) - size + 1, dtype=np.int64))
+                parts.append(np.fromiter((self.ids.setdefault(x, len(self.ids) + 1) for x in w), np.uint32, len(w)))
+                self.items.append((at, "" if item is None else str(item)))
+                at += len(w)
+        self.flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        self.begins = np.array([i for i, _ in self.items], np.int64)
+        self.items = [name for _, name in self.items]
+        self.windows = {}
+        for size, found in starts.items():
+            places = np.concatenate(found)
+            hashes = self._roll(self.flat, size)[places]
+            order = np.argsort(hashes, kind="stable")
+            self.windows[size] = hashes[order], places[order].astype(np.uint32)
 
     @staticmethod
     def _roll(ids: np.ndarray, size: int) -> np.ndarray:
@@ -51,20 +59,23 @@ class WindowIndex:
         return out
 
     def scan(self, w: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        """Which words lie in an occurrence of a window, and the items with occurring windows."""
+        """Which words lie in an occurrence of a window, and the items with occurring windows; words are compared one by one
+        where hashes are equal."""
         hit, items = np.zeros(len(w) + 1, np.int32), set()
         known = self.ids.get
-        ids = np.fromiter((known(x, 0) for x in w), np.uint64, len(w))
-        for size, hashes in self.hashes.items():
+        ids = np.fromiter((known(x, 0) for x in w), np.uint32, len(w))
+        for size, (hashes, places) in self.windows.items():
             if len(w) < size:
                 continue
             rolled = self._roll(ids, size)
-            at = np.searchsorted(hashes, rolled)
-            at[at == len(hashes)] = 0
-            for i in np.flatnonzero(hashes[at] == rolled).tolist():
-                found = self.windows[size].get(tuple(w[i : i + size]))
-                if found:
-                    items |= found
+            low = np.searchsorted(hashes, rolled)
+            low[low == len(hashes)] = 0
+            at = np.flatnonzero(hashes[low] == rolled)
+            for i, first, end in zip(at.tolist(), low[at].tolist(), np.searchsorted(hashes, rolled[at], "right").tolist()):
+                same = (self.flat[places[first:end, None] + np.arange(size, dtype=np.uint32)] == ids[i : i + size]).all(axis=1)
+                if same.any():
+                    owners = np.unique(np.searchsorted(self.begins, places[first:end][same], "right") - 1)
+                    items.update(self.items[k] for k in owners.tolist())
                     hit[i] += 1
                     hit[i + size] -= 1
         return np.cumsum(hit[:-1]) > 0, items
@@ -95,24 +106,27 @@ def _unmark(low: bytes, spans: list[int]) -> np.ndarray:
     return np.searchsorted(spans, at, "right") % 2 == 1 if spans else np.zeros(len(at), bool)
 
 
-def scan_documents(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> tuple[DataFrame, str]:
-    """docs with one more column, and its name: a struct of n_words, n_hit, items (sorted array of item ids) and spans (array
-    of starts and ends of the hit parts, in bytes of the UTF-8 text).
+def scan_documents(docs: DataFrame, bench: DataFrame, window: int = WINDOW, keep: list[str] | None = None) -> tuple[DataFrame, str]:
+    """docs, all columns or those to keep, with one more, and its name: a struct of n_words, n_hit, items (sorted array of item
+    ids) and spans (array of starts and ends of the hit parts, in bytes of the UTF-8 text).
 
     A word is hit if it lies in any occurrence of any window of any item. Null text has no words; repeated documents are
     scanned alike; an item without words has no window; a null item_id reads as ''; repeated items count once. An empty
     benchmark hits nothing; an empty table gives no rows. Other columns pass through, whatever their names. Nothing is
-    shuffled. A benchmark beyond PIECE_BYTES is scanned for piece by piece, each broadcast of bounded size.
+    shuffled. A benchmark beyond PIECE_BYTES is scanned for piece by piece; the table is written between two pieces.
     """
     (name,) = columns_free(docs, "scan")
     kind = "struct<n_words: long, n_hit: long, items: array<string>, spans: array<long>>"
-    out = docs.withColumn(name, F.lit(None).cast(kind))
-    at = docs.columns.index("text")
-    for piece in _pieces(bench):
-        shared = share(docs.sparkSession, piece)
-
-        def scan(batches, shared=shared):
-            index = WindowIndex(shared(), window)
+    out, at = docs.withColumn(name, F.lit(None).cast(kind)), docs.columns.index("text")
+    pieces, last = _pieces(bench), None
+    piece = next(pieces)
+    while piece is not None:
+        shared, piece = share(docs.sparkSession, WindowIndex(piece, window)), next(pieces, None)
+        kept = range(len(docs.columns)) if piece is not None or keep is None else [docs.columns.index(c) for c in keep]
+        names = [docs.columns[i] for i in kept]
+
+        def scan(batches, shared=shared, kept=list(kept), names=names):
+            index = shared()
             for b in batches:
                 rows = []
                 for text, before in zip(utf8(b.column(at)), b.column(b.num_columns - 1).to_pylist()):
@@ -122,16 +136,23 @@ def scan_documents(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> t
                     if before and before["items"]:
                         hit, items = hit | _unmark(low, before["spans"]), items | set(before["items"])
                     rows.append({"n_words": len(w), "n_hit": int(hit.sum()), "items": sorted(items), "spans": _spans(low, hit) if items else []})
-                last = pa.array(rows, b.schema.field(b.num_columns - 1).type)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], last], names=b.schema.names)
-
-        out = out.mapInArrow(scan, out.schema)
+                found = pa.array(rows, b.schema.field(b.num_columns - 1).type)
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), found], names=[*names, name])
+
+        schema = T.StructType([*(out.schema.fields[i] for i in kept), out.schema[name]])
+        out = out.mapInArrow(scan, schema)
+        if piece is not None:
+            out = materialize(out, "scanned")
+            if last is not None:
+                drop_table(last)
+            last = out
     return out, name
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, most: float = 0.0, window: int = WINDOW) -> DataFrame:
     """docs without benchmark text, all columns kept: documents of which more than the share `most` of words is hit go; from
-    the others the hit spans are cut out. With most = 0 every hit document goes; with most = 1 only spans go."""
+    the others the hit spans are cut out. With most = 0 every hit document goes; with most = 1 only spans go. Documents with
+    null or empty text have no words and stay as they are; repeated rows share their fate; an empty table gives no rows."""
     scanned, name = scan_documents(docs, bench, window)
     at = docs.columns.index("text")
 
@@ -152,7 +173,7 @@ def remove_spans(docs: DataFrame, bench: DataFrame, most: float = 0.0, window: i
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    scanned, s = scan_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    scanned, s = scan_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
     return scanned.select(
         "doc_id",
         f"{s}.n_words",

@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import drop_table, materialize, small_or_shuffled, utf8
+from .common import drop_table, materialize, small_bytes_or_shuffled, utf8
 
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of a chunk: least, on average (a power of two) and most.
@@ -148,7 +148,7 @@ def exact_groups(docs: DataFrame, key_bits: int = 64) -> DataFrame:
     groups = recipes.groupBy("recipe").agg(F.count("*").alias("group_size"), best.alias("keep_id"))
     many = groups.where("group_size > 1")
     return (
-        recipes.join(small_or_shuffled(many), "recipe", "left")
+        recipes.join(small_bytes_or_shuffled(many, F.size("recipe").cast("long") * 8), "recipe", "left")
         .select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "text_sha256")
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
         .select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

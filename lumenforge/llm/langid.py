@@ -7,6 +7,9 @@ every byte, and a document's probability is their mean over all bytes of the who
 
 from __future__ import annotations
 
+import random
+import string
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -171,9 +174,38 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Net | None:
+def noise(n: int, seed: int = 5) -> list[bytes]:
+    """Parts of SEGMENT characters that are of no language: letters, digits and signs drawn evenly, hex, base64, words of
+    even letters, code points of any script, one character over and over. The same for the same seed."""
+    rng = random.Random(seed)
+    ascii_, letters = [chr(c) for c in range(33, 127)], string.ascii_lowercase
+    # Scripts by their code points, of which a language uses few at a time: Greek to Arabic, South Asian, Georgian to Cherokee, CJK.
+    scripts = [(0x370, 0x6FF), (0x900, 0xDFF), (0x10A0, 0x13FF), (0x3041, 0x9FFF), (0xAC00, 0xD7A3)]
+
+    def words(pick):
+        out = ""
+        while len(out) < SEGMENT:
+            out += "".join(pick() for _ in range(rng.randint(2, 10))) + " "
+        return out
+
+    def drawn(kind):
+        if kind < 3:
+            return "".join(rng.choices((ascii_, "0123456789abcdef", string.ascii_letters + string.digits + "+/")[kind], k=SEGMENT))
+        if kind == 3:
+            some = rng.sample(letters, rng.randint(6, 26))
+            return words(lambda: rng.choice(some))
+        if kind == 4:
+            low, high = rng.choice(scripts)
+            return words(lambda: chr(rng.randint(low, high)))
+        return rng.choice(ascii_) * SEGMENT
+
+    return [drawn(i % 6)[:SEGMENT].encode() for i in range(n)]
+
+
+def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, with_noise: bool = False) -> Net | None:
     """Fits on a bounded sample of documents with a language, text and id that aren't held out, the same for the same table:
-    of each language those with the least hashes of doc_id, and of each a part of SEGMENT characters at a hashed place."""
+    of each language those with the least hashes of doc_id, and of each a part of SEGMENT characters at a hashed place. With
+    noise, the network also learns what is of no language, as `und`."""
     usable = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).select("doc_id", "lang", "text")
     counts = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).groupBy("lang").count()
     h = F.xxhash64("doc_id")
@@ -182,7 +214,8 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Net | None:
     place = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - SEGMENT + 1, F.lit(1))) + 1
     rows = some.select("lang", "h", "doc_id", F.substr("text", place.cast("int"), F.lit(SEGMENT)).alias("part")).withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("nth") <= per_lang)
     rows = rows.orderBy("lang", "nth").select("lang", "part").collect()
-    return fit([r[1].encode() for r in rows], [r[0] for r in rows])
+    extra = noise(per_lang) if with_noise and rows else []
+    return fit([r[1].encode() for r in rows] + extra, [r[0] for r in rows] + [UND] * len(extra))
 
 
 def predict(docs: DataFrame, net: Net | None) -> DataFrame:
@@ -214,13 +247,19 @@ def op1_language_id(spark, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-#: A document is rejected if it is `und` or no language reaches this mean probability.
+#: A document is rejected if it has no letter, if it reads as noise rather than any language, or if no language reaches this
+#: mean probability.
 LEAST_SCORE = 0.4
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs, all columns, whose language is told with a score of `least` or more."""
-    net = train(docs)
+    """The rows of docs, all columns, whose language is told: a language, not noise, has the greatest pooled probability (of
+    equal ones a language counts), and it is `least` or more.
+
+    Null and empty texts and texts without letters go; repeated rows share their fate; an empty table, or one without any
+    labelled text, gives no rows; very long texts stream through. The network is fitted with noise as a class of its own.
+    """
+    net = train(docs, with_noise=True)
     shared = share(docs.sparkSession, net)
     at = docs.columns.index("text")
 
@@ -228,7 +267,9 @@ def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
         net = shared()
         for b in batches:
             if net is not None:
-                p = pooled(net, [t or b"" for t in utf8(b.column(at))]).max(axis=1)
-                yield b.filter(pa.array(p >= min(least, 1.0 / len(net.langs) + 0.05)))
+                p = pooled(net, [t or b"" for t in utf8(b.column(at))])
+                told = np.array([v != UND for v in net.langs])
+                best = p[:, told].max(axis=1)
+                yield b.filter(pa.array((best >= least) & (best >= p[:, ~told].max(axis=1, initial=0.0))))
 
     return docs.where(F.col("text").rlike(LETTER)).mapInArrow(run, docs.schema)

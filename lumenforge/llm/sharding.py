@@ -5,16 +5,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import columns_free, shared_dir
+from .common import columns_free, materialize, shared_dir, small_or_shuffled
 
 SHARDS = 8
 
 
-def _sized(docs: DataFrame) -> DataFrame:
+def _sized(docs: DataFrame, *more: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(
+        *more,
         "doc_id",
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
@@ -22,8 +23,8 @@ def _sized(docs: DataFrame) -> DataFrame:
     )
 
 
-def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot for each row of docs.
+def assign_shards(docs: DataFrame, shards: int = SHARDS, key: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot for each row of docs; with the name of a column that tells rows apart, that too.
 
     The global order is by the text's hash, then doc_id (null first), so equal texts are neighbours and land in one shard
     unless a cut falls among them. A row's shard is the one whose share of all bytes holds the middle of the row; a text
@@ -33,9 +34,11 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    table = _sized(docs)
+    more = [key] if key else []
+    table = _sized(docs, *more).withColumnsRenamed({key: "row_key"} if key else {})
+    by = ["order_key", "doc_id", *(["row_key"] if key else [])]
     # The sorted rows are written once, so that every later step finds the same rows in the same partition.
-    table = table.repartitionByRange("order_key", "doc_id").sortWithinPartitions("order_key", "doc_id").checkpoint()
+    table = table.select("doc_id", "size", "text_crc32", "order_key", *by[2:]).repartitionByRange(*by).sortWithinPartitions(*by).checkpoint()
     totals = table.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
     bytes_at, rows_at, total, count = {}, {}, 0, 0
     for part, size, rows in sorted(totals):
@@ -55,27 +58,25 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             rows = row + np.arange(len(size), dtype=np.int64)
             if len(size):
                 at, row = int(ends[-1]), int(rows[-1]) + 1
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.minimum(shard, shards - 1).astype(np.int32)), pa.array(rows)], ["doc_id", "size", "text_crc32", "shard", "row"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *b.columns[4:], pa.array(np.minimum(shard, shards - 1).astype(np.int32)), pa.array(rows)], ["doc_id", "size", "text_crc32", *by[2:], "shard", "row"])
 
-    placed = table.mapInArrow(place, "doc_id long, size long, text_crc32 long, shard int, row long")
+    placed = table.mapInArrow(place, "doc_id long, size long, text_crc32 long, " + ("row_key long, " if key else "") + "shard int, row long")
     first = placed.groupBy("shard").agg(F.min("row").alias("first"))  # a row a shard
-    return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("row") - F.col("first")).alias("slot"))
+    return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", *([F.col("row_key").alias(key)] if key else []), "shard", (F.col("row") - F.col("first")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """docs, all rows and columns, with two more, named shard and slot (underscores appended on a clash).
 
-    A row is found again by doc_id, text hash and size; rows alike in these share out the slots they got.
+    The rows are written once with a number of their own, by which each gets its place; so rows that are alike in all, or
+    that have no id, don't meet in one task, and a task that runs again gives them the same places. Null text counts as a size
+    of 1; an empty table gives no rows. Only numbers, sizes and hashes are sorted; texts move only if the places are too many
+    to be broadcast.
     """
-    shard, slot, nth, *keys = columns_free(docs, "shard", "slot", "nth", "key_id", "key_null", "key_crc", "key_size")
-    order = Window.partitionBy(*keys)
-    text = F.coalesce("text", F.lit(""))
-    same = lambda df, crc, size: df.withColumns(dict(zip(keys, [F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), crc, size])))
-    theirs = same(assign_shards(docs, shards).withColumnsRenamed({"shard": shard, "slot": slot}), F.col("text_crc32"), F.col("size"))
-    theirs = theirs.withColumn(nth, F.row_number().over(order.orderBy(shard, slot))).select(*keys, nth, shard, slot)
-    mine = same(docs, F.crc32(text.cast("binary")), F.octet_length(text).cast("long") + 1)
-    mine = mine.withColumn(nth, F.row_number().over(order.orderBy(F.lit(0))))
-    return mine.join(theirs, [*keys, nth]).select(*[mine[f"`{c}`"] for c in docs.columns], shard, slot)
+    shard, slot, key = columns_free(docs, "shard", "slot", "row_key")
+    numbered = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "shard-rows")
+    places = assign_shards(numbered, shards, key).select(key, F.col("shard").alias(shard), F.col("slot").alias(slot))
+    return numbered.join(small_or_shuffled(materialize(places, "shard-places")), key).select(*[numbered[f"`{c}`"] for c in docs.columns], shard, slot)
 
 
 def op9_shards(spark, sf_dir: str) -> DataFrame:

@@ -176,7 +176,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 def near_links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between different fingerprints of column fp at most three bits apart, enough to connect all that link."""
-    spread = fps.repartition(max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "fp")
+    spread = fps.repartition(max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), F.xxhash64("fp"))  # not by fp itself, by which it is dealt to fewer tasks already
     placed = spread.mapInArrow(_expand, "anchor long, fp long, home boolean")
     compare = lambda rows: rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "a long, b long")
     crowded = materialize(_crowded(fps), "simhash-crowded")

@@ -206,6 +206,18 @@ def _seams(obs: DataFrame, model: Model) -> dict[int, dict[str, tuple]]:
     return fixed
 
 
+def _sorted_lines(lines: DataFrame, key: str, order: tuple[str, ...], role: str | None) -> DataFrame:
+    """Observations in the order of key, the order columns and text, written once, so that partitions stay as they are."""
+    shared_dir(lines.sparkSession)
+    by = ["key", *(f"o{i}" for i in range(len(order))), "text"]
+    return observations(lines, key, list(order), role).repartitionByRange(*by).sortWithinPartitions(*by).checkpoint()
+
+
+def fit_model(lines: DataFrame, key: str = "conv_id", order: tuple[str, ...] = ("turn",), role: str = "role") -> Model:
+    """The model of lines whose roles are known, to recover those of others."""
+    return _train(_sorted_lines(lines, key, order, role))
+
+
 def recover_roles(lines: DataFrame, key: str = "conv_id", order: tuple[str, ...] = ("turn",), role: str | None = "role", model: Model | None = None) -> DataFrame:
     """key, order columns, role_pred, starts_turn and rendered, for each row.
 
@@ -215,10 +227,8 @@ def recover_roles(lines: DataFrame, key: str = "conv_id", order: tuple[str, ...]
     unknown or null roles are not learned from but are recovered, repeated rows are lines of their own, an empty table gives
     no rows; a speaker marker is kept in the text.
     """
-    shared_dir(lines.sparkSession)
     names = [f"o{i}" for i in range(len(order))]
-    by = ["key", *names, "text"]
-    obs = observations(lines, key, list(order), role).repartitionByRange(*by).sortWithinPartitions(*by).checkpoint()
+    obs = _sorted_lines(lines, key, order, role)
     model = model or _train(obs)
     fixed = _seams(obs, model)
     schema = obs.select("key", *names, "text").schema.add("role_pred", "string").add("starts", "boolean").add("first", "boolean").add("last", "boolean")

@@ -8,10 +8,10 @@ import uuid
 import zlib
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fresh_path, materialize, small_or_shuffled
+from ..sources.files import filesystem
+from .common import drop_table, fresh_path, materialize, small_or_shuffled
 
 #: Payloads under so many bytes are never revisits.
 REVISIT_FROM = 100
@@ -32,7 +32,7 @@ def _record(page_id, url: str | None, payload: bytes, digest: str, refers_to) ->
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:page:{page_id}>",
-        f"WARC-Target-URI: {'' if url is None else url.translate({10: '%0A', 13: '%0D'})}",
+        *([] if url is None else [f"WARC-Target-URI: {url.translate({10: '%0A', 13: '%0D', 37: '%25'})}"]),
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Payload-Length: {len(payload)}",
@@ -64,13 +64,19 @@ def _page(urn: str):
     return None if found == "None" else int(found)
 
 
+def _url(headers: dict[str, str]) -> str | None:
+    """The URL as it was given: line ends and percent signs are escaped in a header; a record without one has no URL."""
+    found = headers.get("WARC-Target-URI")
+    return None if found is None else found.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+
+
 def write_archives(pages: DataFrame, to: str) -> DataFrame:
     """Writes a record per row of pages (page_id, url, html) below the folder `to`, which all executors share, and returns
     the index, itself a table in the shared folder.
 
     The payload is the html in UTF-8 (null: empty). Of rows with equal payloads of REVISIT_FROM bytes or more the one with
-    the least page_id (null last) is a response, the others refer to it; of repeated rows with that page_id one is. URLs may
-    be null. Whatever other columns pages has is left out. An empty table gives an empty index.
+    the least page_id (null last) is a response, the others refer to it; of repeated rows with that page_id one is. Where all
+    ids of a payload are null there is none to refer to, and all are responses. URLs may be null. Whatever other columns pages has is left out. An empty table gives an empty index.
     """
     spark = pages.sparkSession
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -83,7 +89,7 @@ def write_archives(pages: DataFrame, to: str) -> DataFrame:
     rows = own.join(small_or_shuffled(leaders), "digest", "left").select("page_id", "url", "html", "digest", "size", "leader")
 
     def write(batches):
-        fs, folder = pyarrow.fs.FileSystem.from_uri(to)
+        fs, folder = filesystem(to)
         fs.create_dir(folder, recursive=True)
         # The name comes from the task's first row: a task that runs again writes the same bytes to the same name.
         name = part = out = None
@@ -104,9 +110,13 @@ def write_archives(pages: DataFrame, to: str) -> DataFrame:
                     out.write(member)
                     index.append((page, url, digest, "response" if refers is None else "revisit", name, at, len(member)))
                     at += len(member)
-        finally:
+        except BaseException:
             if out is not None:
                 out.close()
+                fs.delete_file(part)
+            raise
+        if out is not None:
+            out.close()
         if out is not None:
             fs.move(part, f"{folder}/{name}")
         for i in range(0, len(index), 10_000):
@@ -114,18 +124,20 @@ def write_archives(pages: DataFrame, to: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()])], ["page_id", "url", "digest", "record_type", "archive", "offset", "length"])
 
     placed = rows.repartition(int(archives), F.xxhash64("page_id", "digest")).sortWithinPartitions("page_id", "url", "digest")
-    return materialize(placed.mapInArrow(write, INDEX), "warc-index")
+    index = materialize(placed.mapInArrow(write, INDEX), "warc-index")
+    drop_table(meta)
+    return index
 
 
 def read_records(index: DataFrame, at: str) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (null for a revisit) of the index rows.
 
     The rows are sorted by archive and offset, neighbouring ranges read at once. Every record is held against its index row,
-    and a response's payload against its digest.
+    and a response's payload against its digest. An empty index gives no rows; repeated index rows read a record again.
     """
 
     def read(batches):
-        fs, folder = pyarrow.fs.FileSystem.from_uri(at)
+        fs, folder = filesystem(at)
 
         def runs():
             run, end = [], 0
@@ -151,7 +163,7 @@ def read_records(index: DataFrame, at: str) -> DataFrame:
                 if said != digest or kind == "response" and (hashlib.sha256(payload).hexdigest() != said or len(payload) != size):
                     raise ValueError(f"{run[0][1]} at {offset}: the payload isn't what the index says")
                 refers = _page(headers["WARC-Refers-To"]) if kind == "revisit" else None
-                out.append((_page(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], kind, refers, size, said, payload if kind == "response" else None))
+                out.append((_page(headers["WARC-Record-ID"]), _url(headers), kind, refers, size, said, payload if kind == "response" else None))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
 

@@ -213,7 +213,7 @@ def test_secret_base_spans_against_the_patterns(docs, spark):
     grammar = secrets.Grammar(secrets.drawn(), ["the", "of", "internationalization", "thhetionthershently"] * 500)
     fresh = secrets.drawn(seed=99)
     found = {k: np.mean([secrets.find(f"see {v} there", grammar)[1] != [] for v in vs[:100]]) for k, vs in fresh.items()}
-    assert min(found.values()) > 0.85, found
+    assert min(found.values()) >= 0.9, found
     plain = ["internationalization", "thhetionthershentlyndthe", "https.example.com.index.html", "2024-01-01T00:00:00.000", "=" * 40]
     assert not any(secrets.find(p, grammar)[1] for p in plain)
     df = spark.createDataFrame([(1, t), (2, None), (3, ""), (1, t)], "doc_id long, text string")
