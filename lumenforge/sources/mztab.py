@@ -18,7 +18,7 @@ FEATURE = "feature_id string, run_name string, chemical_entity string, retention
 def mztab_lines(spark: SparkSession, path: str) -> DataFrame:
     """prefix, fields and line_no of a file's lines, blanks and comments left out. The file is one row of the scan, since its
     header lines give the columns of those that follow."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).where("line <> '' and line not like 'COM%'")
     return lines.select("line_no", F.split("line", "\t").alias("fields")).withColumn("prefix", F.col("fields")[0])
 
