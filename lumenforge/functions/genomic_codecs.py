@@ -210,10 +210,10 @@ def position_bucket(i: Column, length: Column) -> Column:
 
 
 def name_tokens(name: str) -> list[str]:
-    """A read name in tokens: numbers without a leading zero (0 itself is one) of up to 64 bits, and what lies between."""
+    """A read name in tokens: numbers without a leading zero (0 itself is one) of up to 63 bits, and what lies between."""
     out, text = [], ""
     for part in re.findall(r"[0-9]+|[^0-9]+", name):
-        if part.isdigit() and (part == "0" or part[0] != "0") and int(part) < 1 << 64:
+        if part.isdigit() and (part == "0" or part[0] != "0") and int(part) < 1 << 63:
             out += [text] if text else []
             out.append(part)
             text = ""
@@ -235,3 +235,216 @@ def with_mate_stream(reads: DataFrame, group: str = "run_name") -> DataFrame:
     sliced = reads.select(group, F.floor(F.col("read_index") / SLICE_READS).cast("long").alias("part"), "read_index", *[F.col(c).cast("long").alias(c) for c in cols])
     kind = dict(reads.dtypes)[group]
     return sliced.groupBy(group, "part").applyInArrow(run, f"{group} {kind}, part long, n long, stream binary")
+
+
+# -- read names -----------------------------------------------------------------------------------------------------------
+
+NAME_MAGIC, POOL, NAME_BLOCK = b"NTK2", 8, 4096
+DUP, MATCH, COLUMNS, VERBATIM = range(4)
+
+
+def _bits(values: list[int], width: int) -> bytes:
+    """Values of so many bits each, the first in the highest bits."""
+    if not values:
+        return b""
+    flat = (np.array(values, np.uint8)[:, None] >> np.arange(width - 1, -1, -1, dtype=np.uint8)) & 1
+    return np.packbits(flat.ravel()).tobytes()
+
+
+def _unbits(data: bytes, n: int, width: int) -> list[int]:
+    flat = np.unpackbits(np.frombuffer(data, np.uint8))
+    if len(flat) < n * width:
+        raise ValueError("a substream is cut short")
+    return (flat[: n * width].reshape(n, width) @ (1 << np.arange(width - 1, -1, -1))).tolist()
+
+
+def _uint(v: int) -> bytes:
+    out = bytearray()
+    while v >= 128:
+        out.append(v & 127 | 128)
+        v >>= 7
+    out.append(v)
+    return bytes(out)
+
+
+class _Reader:
+    """Numbers and texts of a substream, one after the other."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
+
+    def uint(self) -> int:
+        v = shift = 0
+        while True:
+            if self.at >= len(self.data) or shift > 63:
+                raise ValueError("a substream is cut short")
+            byte = self.data[self.at]
+            self.at += 1
+            v |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return v
+
+    def sint(self) -> int:
+        v = self.uint()
+        return v >> 1 ^ -(v & 1)
+
+    def text(self) -> str:
+        n = self.uint()
+        self.at += n
+        if self.at > len(self.data):
+            raise ValueError("a substream is cut short")
+        return self.data[self.at - n : self.at].decode("ascii")
+
+
+class _Columns:
+    """What the rows of a block know of its columns: their kinds, the last number of each, and the texts seen in each."""
+
+    def __init__(self):
+        self.kinds, self.last, self.texts = None, {}, {}
+
+    def learn(self, tokens: list, k: int) -> None:
+        """The first k tokens came from another row: their numbers are the last ones now."""
+        for j, t in enumerate(tokens[:k]):
+            if isinstance(t, int):
+                self.last[j] = t
+
+
+def _typed(name: str) -> list:
+    return [int(t) if t.isdigit() and (t == "0" or t[0] != "0") and int(t) < 1 << 63 else t for t in name_tokens(name)]
+
+
+def _kinds(tokens: list) -> list[int]:
+    return [0 if isinstance(t, int) else 1 for t in tokens]
+
+
+def _names_block(names: list[str]) -> bytes:
+    pool, state = [], _Columns()
+    flags, picks, matched, deltas, codes, literals, verbatim = [], [], bytearray(), bytearray(), bytearray(), bytearray(), bytearray()
+    for name in names:
+        tokens = _typed(name)
+        if not name.isascii() or len(tokens) > 255:
+            raise ValueError(f"a name that can't be held: {name[:40]!r}")
+        kinds = _kinds(tokens)
+        fits = bool(tokens) and state.kinds in (None, kinds)
+        same = next((i for i, (n, _) in enumerate(pool) if n == name), None)
+        best = (0, 0)
+        if same is None and fits:
+            for i, (_, other) in enumerate(pool):
+                k = 0
+                while k < min(len(tokens), len(other)) and type(tokens[k]) is type(other[k]) and tokens[k] == other[k]:
+                    k += 1
+                if 1 <= k < len(tokens) and k > best[0]:
+                    best = (k, i)
+        if same is not None:
+            flags.append(DUP)
+            picks.append(same)
+        elif fits:
+            state.kinds, k = kinds, best[0]
+            flags.append(MATCH if k else COLUMNS)
+            if k:
+                picks.append(best[1])
+                matched += _uint(k)
+                state.learn(tokens, k)
+            for j in range(k, len(tokens)):
+                t = tokens[j]
+                if isinstance(t, int):
+                    d = t - state.last.get(j, 0)
+                    deltas += _uint(t) if j not in state.last else _uint(d << 1 if d >= 0 else ~(d << 1))
+                    state.last[j] = t
+                else:
+                    seen = state.texts.setdefault(j, {})
+                    codes += _uint(seen.get(t, len(seen)))
+                    if t not in seen:
+                        seen[t] = len(seen)
+                        literals += _uint(len(t)) + t.encode()
+        else:
+            flags.append(VERBATIM)
+            verbatim += _uint(len(name)) + name.encode()
+        pool = [*pool, (name, tokens)][-POOL:]
+    shape = bytes([len(state.kinds)]) + _bits(state.kinds, 1) if state.kinds else b""
+    body = b""
+    for part in (_bits(flags, 2), _bits(picks, 3), matched, shape, deltas, codes, literals, verbatim):
+        raw = bytes(part)
+        coded = rans_encode(raw) if raw else raw
+        mode, data = (1, coded) if len(coded) < len(raw) else (0, raw)
+        body += struct.pack("<IB", len(data), mode) + data
+    return struct.pack("<II", len(names), len(body)) + body
+
+
+def names_encode(names: list[str]) -> bytes:
+    """Read names in blocks of NAME_BLOCK that decode by themselves. A name is the same as one of the last eight, or begins like
+    one of them, or differs by column from the row before, or is kept as it is."""
+    blocks = [_names_block(names[i : i + NAME_BLOCK]) for i in range(0, len(names), NAME_BLOCK)]
+    starts = np.concatenate(([0], np.cumsum([len(b) for b in blocks])[:-1])).astype("<u4") if blocks else np.zeros(0, "<u4")
+    return NAME_MAGIC + bytes([1, 0 if names else 1]) + struct.pack("<IH", len(names), len(blocks)) + starts.tobytes() + b"".join(blocks)
+
+
+def _read_names(data: bytes) -> list[str]:
+    n, size = struct.unpack_from("<II", data)
+    if not 0 < n <= NAME_BLOCK or 8 + size > len(data):
+        raise ValueError("a block is cut short or of no names")
+    parts, at = [], 8
+    for _ in range(8):
+        length, mode = struct.unpack_from("<IB", data, at)
+        if mode > 1 or at + 5 + length > 8 + size:
+            raise ValueError("a substream is malformed")
+        raw = data[at + 5 : at + 5 + length]
+        parts.append(rans_decode(raw) if mode else raw)
+        at += 5 + length
+    if at != 8 + size:
+        raise ValueError("substreams don't add up")
+    flags = _unbits(parts[0], n, 2)
+    picks = iter(_unbits(parts[1], sum(f in (DUP, MATCH) for f in flags), 3))
+    matched, deltas, codes, literals, verbatim = _Reader(parts[2]), *map(_Reader, parts[4:8])
+    kinds = _unbits(parts[3][1:], parts[3][0], 1) if parts[3] else []
+    pool, state, out = [], _Columns(), []
+    for f in flags:
+        if f in (DUP, MATCH):
+            pick = next(picks)
+            if pick >= len(pool):
+                raise ValueError("no such name before")
+        if f == DUP:
+            name, tokens = pool[pick]
+        elif f == VERBATIM:
+            name = verbatim.text()
+            tokens = _typed(name)
+        else:
+            k = matched.uint() if f == MATCH else 0
+            if f == MATCH and not 0 < k < len(kinds) or f == MATCH and _kinds(pool[pick][1][:k]) != kinds[:k]:
+                raise ValueError("a match of no part of a name")
+            tokens = list(pool[pick][1][:k]) if f == MATCH else []
+            state.learn(tokens, k)
+            for j in range(k, len(kinds)):
+                if kinds[j] == 0:
+                    state.last[j] = (state.last[j] + deltas.sint()) if j in state.last else deltas.uint()
+                    tokens.append(state.last[j])
+                else:
+                    seen, code = state.texts.setdefault(j, []), codes.uint()
+                    if code > len(seen):
+                        raise ValueError("no such text before")
+                    if code == len(seen):
+                        seen.append(literals.text())
+                    tokens.append(seen[code])
+            name = "".join(map(str, tokens))
+        pool = [*pool, (name, tokens)][-POOL:]
+        out.append(name)
+    return out
+
+
+def names_decode(data: bytes, block: int | None = None) -> list[str]:
+    """All names, or those of one block."""
+    if len(data) < 12 or data[:5] != NAME_MAGIC + b"\x01" or data[5] > 1:
+        raise ValueError("no stream of names")
+    n, blocks = struct.unpack_from("<IH", data, 6)
+    if 12 + 4 * blocks > len(data):
+        raise ValueError("places of blocks are cut short")
+    starts = np.frombuffer(data, "<u4", blocks, 12) + 12 + 4 * blocks
+    if blocks and int(starts.max()) + 8 > len(data):
+        raise ValueError("a block beyond the end")
+    if block is not None:
+        return _read_names(data[int(starts[block]) :])
+    out = [x for s in starts for x in _read_names(data[int(s) :])]
+    if len(out) != n:
+        raise ValueError("another number of names")
+    return out

@@ -501,6 +501,22 @@ def write_bam(reads: DataFrame, path: str, sort: bool = True, **about) -> None:
     put(f"{path}/2-end.bam", _END)
 
 
+def dump_reads(reads: DataFrame, name: str, about: dict, order: str = "line_no") -> dict:
+    """What a dump of a file of reads says, for canonical JSON: columns in order, and MD5s of all sequences and all qualities. It is
+    for files that a person compares; rows stream through the driver."""
+    import hashlib
+
+    seq, qual, lists = hashlib.md5(), hashlib.md5(), {}
+    fields = {"read_names": "read_name", "positions": "position", "chromosomes": "chromosome", "flags": "flags", "mapping_qualities": "mapq", "cigars": "cigar", "mate_chromosomes": "mate_chromosome", "mate_positions": "mate_position", "template_lengths": "template_length"}
+    lists = {k: [] for k in fields}
+    for r in reads.orderBy(order).toLocalIterator():
+        for k, c in fields.items():
+            lists[k].append(r[c])
+        seq.update((r["seq"] or "").encode())
+        qual.update((r["qual"] or "").encode())
+    return {"name": name, "read_count": len(lists["read_names"]), "sample_name": about["sample_name"], "platform": about["platform"], "reference_uri": about["reference_uri"], **lists, "sequences_md5": seq.hexdigest(), "qualities_md5": qual.hexdigest(), "provenance_count": len(about["provenance"])}
+
+
 def read_cram(*_, **__):
     """CRAM needs htslib, which isn't here; convert to BAM or SAM first."""
     raise NotImplementedError("CRAM needs htslib: convert it to BAM or SAM first")

@@ -607,3 +607,112 @@ def simulated_stream(spark: SparkSession, rows_per_second: int = 10, **how) -> D
     drawn = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "value"), F.lit(1 << 30)) / float(1 << 30)
     peak: Column = F.transform(F.sequence(F.lit(0), F.lit(n_peaks - 1)), lambda k: F.pmod(F.xxhash64(F.lit(seed), F.col("value"), k), F.lit(1 << 30)) / float(1 << 30))
     return rate.select(F.col("value").alias("spectrum_index"), F.col("timestamp"), F.when(drawn(-1) < how.get("ms1_fraction", 0.3), 1).otherwise(2).alias("ms_level"), F.array_sort(F.transform(peak, lambda x: low + x * (high - low))).alias("mz"))
+
+
+# -- encrypted streams ----------------------------------------------------------------------------------------------------
+
+CIPHER = "aes-256-gcm"
+
+
+def protection_metadata(cipher: str = CIPHER, kek: str = "", wrapped: bytes = b"", signature: str = "", public: bytes = b"") -> bytes:
+    """Cipher, algorithm and bytes of the wrapped key, algorithm of signatures and public key."""
+    return _text(cipher) + _text(kek) + len(wrapped).to_bytes(4, "little") + wrapped + _text(signature) + len(public).to_bytes(4, "little") + public
+
+
+def parse_protection(data: bytes) -> dict:
+    out = {}
+    out["cipher"], at = _read_text(data, 0)
+    out["kek_algorithm"], at = _read_text(data, at)
+    size = int.from_bytes(data[at : at + 4], "little")
+    out["wrapped_dek"], at = data[at + 4 : at + 4 + size], at + 4 + size
+    out["signature_algorithm"], at = _read_text(data, at)
+    size = int.from_bytes(data[at : at + 4], "little")
+    return out | {"public_key": data[at + 4 : at + 4 + size]}
+
+
+def _segment_bytes(s: dict) -> bytes:
+    return bytes(s["iv"]) + bytes(s["tag"]) + bytes(s["ciphertext"])
+
+
+def write_sealed_units(units: DataFrame, channels: tuple[str, ...], checksum: bool = True) -> DataFrame:
+    """dataset_id, au_sequence and packet of units whose channels are segments (protect.seal_channels), and whose filter keys
+    are one too if they have a column header (protect.seal_headers). Bytes pass through as they are; no key is needed."""
+    whole = "header" in units.columns
+    flags = ENCRYPTED | (ENCRYPTED_HEADER if whole else 0)
+    cells = [F.coalesce(F.col(c).cast(kind), F.lit(zero)).alias(c) if c in units.columns else F.lit(zero).cast(kind).alias(c) for c, (kind, zero) in _UNIT.items()]
+    rows = units.select(F.col("dataset_id").cast("long").alias("dataset_id"), F.col("au_sequence").cast("long").alias("au_sequence"), *cells, *channels, *(["header"] if whole else []))
+
+    def run(batches):
+        for b in batches:
+            found = {c: b.column(b.schema.names.index(c)).to_pylist() for c in [*channels, *(["header"] if whole else [])]}
+            head = np.zeros(b.num_rows, PREFIX)
+            for c in ("spectrum_class", "acquisition_mode", "ms_level", "precursor_charge", "retention_time", "precursor_mz", "ion_mobility", "base_peak_intensity"):
+                head[c] = _col(b, c)
+            head["polarity"], head["n_channels"] = wire_polarity(_col(b, "polarity")), len(channels)
+            raw, size, payloads = head.tobytes(), PREFIX.itemsize, []
+            for i in range(b.num_rows):
+                first = bytes([head["spectrum_class"][i], len(channels)]) + _segment_bytes(found["header"][i]) if whole else raw[i * size : (i + 1) * size]
+                payloads.append(first + b"".join(channel(c, FLOAT64, NONE, found[c][i]["length"] // 8, _segment_bytes(found[c][i])) for c in channels))
+            made = pack_many(ACCESS_UNIT, payloads, _col(b, "dataset_id"), _col(b, "au_sequence"), checksum=checksum, flags=flags)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["dataset_id", "au_sequence", "packet"])
+
+    return rows.mapInArrow(run, "dataset_id long, au_sequence long, packet binary")
+
+
+def sealed_stream(units: DataFrame, runs: DataFrame, features: tuple[str, ...], channels: tuple[str, ...] = ("mz", "intensity"), title: str = "", checksum: bool = False, **protection) -> DataFrame:
+    """The stream of a dataset whose rows are sealed: as dataset_stream, with a packet of protection metadata for each dataset
+    after the stream's header. A dataset that doesn't say it is sealed is refused."""
+    if "opt_per_au_encryption" not in features:
+        raise ValueError("the dataset isn't sealed row by row: it lacks opt_per_au_encryption")
+    spark, found = units.sparkSession, numbered_runs(runs)
+    own = _numbered(units.drop("au_sequence"), found, "spectrum_index").withColumn("spectrum_class", F.lit(0))
+    counts = {r[0]: r[1] for r in own.groupBy("run_name").count().collect()}
+    about = protection_metadata(**protection)
+    frame = [(_HEAD, 0, 0, pack(STREAM_HEADER, stream_header(title, "", list(features), len(found)), checksum=checksum))]
+    for r in found:
+        i, n = r["dataset_id"], counts.get(r["run_name"], 0)
+        frame.append((_HEAD, i, 0, pack(PROTECTION, about, i, checksum=checksum)))
+        frame.append((_DATASETS, i, 0, pack(DATASET_HEADER, dataset_header(i, r["run_name"], r.get("acquisition_mode") or 0, r.get("spectrum_class") or "MassSpectrum", list(channels), instrument_json(r.get("instrument")), n), i, checksum=checksum)))
+        frame.append((_UNITS, i, 1 << 40, pack(END_OF_DATASET, struct.pack("<HI", i, n), i, checksum=checksum)))
+    frame.append((_END, 1 << 20, 0, pack(END_OF_STREAM, b"", checksum=checksum)))
+    out = spark.createDataFrame([(s, d, q, bytearray(p)) for s, d, q, p in frame], "section int, dataset_id long, au_sequence long, packet binary")
+    return out.unionByName(write_sealed_units(own, channels, checksum).select(F.lit(_UNITS).alias("section"), "dataset_id", "au_sequence", "packet"))
+
+
+def read_sealed(packets: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Units with their segments as they came (dataset_id, au_sequence, filter keys if they are clear, header, and channels, a
+    map of names to segments), and the features a receiver adds. Nothing is decrypted. Units of a dataset without a header
+    are an error."""
+    if found := violations(packets).limit(1).collect():
+        raise ValueError(f"{found[0][2]}: dataset {found[0][0]}, unit {found[0][1]}")
+    kind = "struct<iv: binary, tag: binary, ciphertext: binary, length: int>"
+    units = packets.where(F.col("type") == ACCESS_UNIT)
+    sealed = units.agg(F.count_if(F.col("flags").bitwiseAND(ENCRYPTED) != 0), F.count_if(F.col("flags").bitwiseAND(ENCRYPTED_HEADER) != 0)).first()
+
+    def run(batches):
+        cut = lambda x, n: {"iv": x[:12], "tag": x[12:28], "ciphertext": x[28:], "length": n}
+        for b in batches:
+            heads, clear, maps = [], [], []
+            for flags, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if flags & ENCRYPTED_HEADER:
+                    n, at = p[1], 2 + 28 + 36
+                    heads.append(cut(p[2:at], 36))
+                    clear.append(None)
+                else:
+                    n, at = p[PREFIX.itemsize - 1], PREFIX.itemsize
+                    heads.append(None)
+                    clear.append(p[:at])
+                found = []
+                for _ in range(n):
+                    name, at = _read_text(p, at)
+                    _, _, count, size = struct.unpack_from("<BBII", p, at)
+                    found.append((name, cut(p[at + 10 : at + 10 + size], 8 * count)))
+                    at += 10 + size
+                    if at > len(p):
+                        raise ValueError("a channel is cut short")
+                maps.append(found)
+            s = pa.struct([("iv", pa.binary()), ("tag", pa.binary()), ("ciphertext", pa.binary()), ("length", pa.int32())])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(heads, s), pa.array(clear, pa.binary()), pa.array(maps, pa.map_(pa.string(), s))], ["dataset_id", "au_sequence", "header", "prefix", "channels"])
+
+    out = units.select(F.col("dataset_id").cast("long").alias("dataset_id"), F.col("au_sequence").cast("long").alias("au_sequence"), "flags", "payload").mapInArrow(run, f"dataset_id long, au_sequence long, header {kind}, prefix binary, channels map<string, {kind}>")
+    return out, (["opt_per_au_encryption"] if sealed[0] else []) + (["opt_encrypted_au_headers"] if sealed[1] else [])

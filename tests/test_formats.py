@@ -96,6 +96,27 @@ def test_mates_and_reference_differences():
     assert gen.name_tokens("M7:007:0:12a0") == ["M", "7", ":007:", "0", ":", "12", "a", "0"]
 
 
+def test_read_names():
+    rng = np.random.default_rng(1)
+    names = [f"EAS:{i // 40}:{rng.integers(0, 9)}:{rng.integers(0, 99999)}/{1 + i % 2}" for i in range(5000)]
+    names[7] = names[6]
+    names[100], names[200], names[300] = "plain", "x007:0", "1" * 30
+    blob = gen.names_encode(names)
+    assert blob[:12] == b"NTK2\x01\0" + struct.pack("<IH", 5000, 2) and len(blob) < sum(map(len, names)) / 2
+    assert gen.names_decode(blob) == names and gen.names_decode(blob, 1) == names[4096:]
+    assert gen.names_encode([]) == b"NTK2\x01\x01" + bytes(6) and gen.names_decode(gen.names_encode([])) == []
+    # By hand: a row by columns (a, 5), the same again (entry 0), then a match of one column and a difference of +2.
+    flags, pool = bytes([0b10_00_01_00]), bytes([0b000_000_00])
+    raw = lambda b: struct.pack("<IB", len(b), 0) + b
+    body = raw(flags) + raw(pool) + raw(b"\x01") + raw(bytes([2, 0b10_000000])) + raw(bytes([5, 4])) + raw(b"\0") + raw(b"\x01a") + raw(b"")
+    assert gen.names_encode(["a5", "a5", "a7"]) == b"NTK2\x01\0" + struct.pack("<IHI", 3, 1, 0) + struct.pack("<II", 3, len(body)) + body
+    for bad in (blob[:11], b"NTK1" + blob[4:], blob[:5] + b"\x02" + blob[6:], blob[:-3]):
+        with pytest.raises((ValueError, struct.error)):
+            gen.names_decode(bad)
+    with pytest.raises(ValueError):
+        gen.names_encode(["é"])
+
+
 def test_strings_and_wire_codecs():
     assert codecs.strings_decode(codecs.strings_encode(["5M", "", "é" * 200], 1)) == ["5M", "", "é" * 200]
     for c in (codecs.NONE, codecs.RANS_0, codecs.RANS_1, codecs.BASE_PACK):
@@ -315,6 +336,8 @@ def test_sam_and_bam(spark, tmp_path):
     about = seqs.run_of_sam(header)
     assert (about["sample_name"], about["platform"], len(about["provenance"])) == ("S", "ILL", 3)
     assert [r["read_name"] for r in seqs.read_bam(spark, str(tmp_path / "x.bam"), "chr2:25-90")[0].collect()] == ["d"]
+    told = seqs.dump_reads(reads, "x", about)
+    assert told["read_count"] == 4 and told["sequences_md5"] == hashlib.md5("".join(READS[i][9] for i in (3, 0, 1, 2)).encode()).hexdigest()
     with pytest.raises(NotImplementedError):
         seqs.read_cram("x")
 
@@ -436,6 +459,29 @@ def test_channel_segments_and_headers(spark, stream_tables):
         protect.seal_channels(units, b"short", ("intensity",))
 
 
+def test_encrypted_stream(spark, stream_tables):
+    units = stream_tables["spectra"].where("spectrum_index < 6").withColumns({"dataset_id": F.lit(1), "au_sequence": F.col("spectrum_index")})
+    shut = protect.seal_channels(units, KEY, ("mz", "intensity"))
+    with pytest.raises(ValueError):
+        pk.sealed_stream(shut, stream_tables["runs"], ())
+    for sealed, more in ((shut, []), (protect.seal_headers(shut, KEY), ["opt_encrypted_au_headers"])):
+        sealed = sealed.persist()  # each evaluation draws nonces anew
+        stream = pk.sealed_stream(sealed, stream_tables["runs"], ("opt_per_au_encryption",), checksum=True, wrapped=b"w" * 60, kek="aes-256-gcm")
+        raw = pk.unpack(pk.stream_bytes(stream))
+        assert [x[0] for x in raw] == [1, 4, 2, *[3] * 6, 8, 255]
+        assert pk.parse_protection(raw[1][5])["wrapped_dek"] == b"w" * 60 and raw[3][1] & pk.ENCRYPTED
+        table = spark.createDataFrame([(*x[:5], bytearray(x[5]), i) for i, x in enumerate(raw)], pk.PACKETS + ", arrival long")
+        got, features = pk.read_sealed(table)
+        assert features == ["opt_per_au_encryption", *more]
+        back = got.select("dataset_id", "au_sequence", "header", F.col("channels")["mz"].alias("mz"), F.col("channels")["intensity"].alias("intensity"))
+        opened = protect.open_channels(back, KEY, ("mz", "intensity")).orderBy("au_sequence")
+        assert [r["mz"] for r in opened.collect()] == [r["mz"] for r in units.orderBy("au_sequence").collect()]
+        if more:
+            assert [r["ms_level"] for r in protect.open_headers(back.drop("mz", "intensity"), KEY).orderBy("au_sequence").collect()] == [1, 2, 1, 2, 1, 2]
+    with pytest.raises(ValueError):
+        pk.read_sealed(table.where(F.col("type") != pk.DATASET_HEADER))
+
+
 def test_region_keys(spark):
     reads = spark.createDataFrame([(1, i, c, 5, 60, 0, bytearray(b"ACGT"), bytearray(b"IIII")) for i, c in enumerate(("chr1", "chr2", None))], "dataset_id int, read_index long, chromosome string, position long, mapq int, flags long, seq binary, qual binary")
     shut = protect.seal_regions(reads, {"chr1": KEY, protect.HEADERS_KEY: KEY})
