@@ -250,3 +250,25 @@ def test_registered_queries_have_stable_columns(spark):
     found = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(found)
     assert __spark_entry__.entry(spark).columns == ["run_name", "spectrum_index"]
+
+
+def test_delta_streams_by_hand():
+    # 5 and 3 differ by -2 from one to the next: zigzagged 10 and 3, a byte each.
+    raw = np.array([5, 3], "<i4").tobytes()
+    assert codecs.delta_rans_encode(raw, 4) == b"DRA0\x01\x04\0\0" + codecs.rans_encode(bytes([10, 3]))
+    assert codecs.pack_bases(b"ACGTN") == bytes([0]) + (5).to_bytes(4, "big") + (2).to_bytes(4, "big") + (1).to_bytes(4, "big") + bytes([0b00_01_10_11, 0]) + (4).to_bytes(4, "big") + b"N"
+    assert codecs.pack_qualities(bytes([0, 30, 93])) == bytes([0, 0, 0, 0, 0, 3, 0x05, 0x70])
+
+
+def test_registered_filters_reach_the_scan_and_move_nothing(spark):
+    import __spark_entry__
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    found = __spark_entry__.queries()
+    plan = lambda name: found[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    region = plan("genomic_region")
+    assert "EqualTo(l_returnflag,R)" in region and "GreaterThanOrEqual(l_partkey,100)" in region and "LessThan(l_partkey,900)" in region
+    assert "GreaterThanOrEqual(value,40.0)" in plan("base_peak_threshold") and "GreaterThanOrEqual(event_id,10)" in plan("objects_in_range")
+    for name in ("genomic_region", "base_peak_threshold", "retention_time_range", "ms_level", "flag_mask", "read_flags", "unit_filter", "reads_in_mask_regions", "mask_below_quantile"):
+        assert "Exchange hashpartitioning(run_name" not in plan(name) and "Window" not in plan(name), name
+    assert "shipdate" not in region and "Exchange" not in region
