@@ -187,7 +187,11 @@ def line_components(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs, all rows and columns, with the lines that line_components drops taken out of text; blank lines stay."""
+    """docs, all rows and columns, with the lines that line_components drops taken out of text; blank lines stay.
+
+    Null and empty texts stay as they are; a text of which all lines go is empty; repeated rows lose the same lines; an empty
+    table gives no rows; columns may have any names.
+    """
     gone, key = columns_free(docs, "gone", "key")
     dropped = line_components(docs).where("not kept").groupBy(F.coalesce("doc_id", F.lit(0)).alias(key), F.col("doc_id").isNull().alias("none")).agg(F.collect_set("line_no").alias(gone))
     marked = docs.join(small_bytes_or_shuffled(dropped, F.size(gone).cast("long") * 4), (F.coalesce(docs["doc_id"], F.lit(0)) == dropped[key]) & (docs["doc_id"].isNull() == dropped["none"]), "left")

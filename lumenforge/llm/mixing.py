@@ -140,8 +140,32 @@ def calibrate(marked: DataFrame, names: dict[str, str], targets: Mapping[str, Ma
     return out, names | {"p": p, "kept": kept}
 
 
+def report(drawn: DataFrame, names: dict[str, str], targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
+    """dimension, value, wanted, expected, achieved of a calibrated table: the shares of kept tokens that were asked for, that
+    the probabilities give, and that the draw gave. They differ where a value would need probabilities over 1. A row for
+    each value; the table is summed up by cell first."""
+    cell = names["cell"]
+    cells = drawn.groupBy(F.col(cell)).agg(F.sum(names["tokens"]).alias("all"), F.sum(F.col(names["tokens"]) * F.col(names["p"])).alias("expected"), F.sum(F.when(F.col(names["kept"]), F.col(names["tokens"])).otherwise(0)).alias("achieved"))
+    cells = materialize(cells.select(f"{cell}.*", "all", "expected", "achieved"), "mix-cells")
+    out = []
+    for d in DIMENSIONS:
+        rows = cells.groupBy(F.col(d).alias("value")).agg(*[F.sum(c).cast("double").alias(c) for c in ("all", "expected", "achieved")]).collect()
+        sums = {c: sum(r[c] or 0.0 for r in rows) or 1.0 for c in ("all", "expected", "achieved")}
+        shares = {r["value"]: (r["all"] or 0.0) / sums["all"] for r in rows}
+        want = goals(shares, (targets or {}).get(d)) if any(shares.values()) else shares
+        out += [(d, r["value"], want[r["value"]], (r["expected"] or 0.0) / sums["expected"], (r["achieved"] or 0.0) / sums["achieved"]) for r in rows]
+    spark = drawn.sparkSession
+    drop_table(cells)
+    return spark.createDataFrame(out, "dimension string, value string, wanted double, expected double, achieved double")
+
+
 def mix(docs: DataFrame, targets=None, rate: float = RATE, seed: int = 17) -> DataFrame:
-    """The sampled rows of docs, all columns."""
+    """The sampled rows of docs, all columns, whatever their names.
+
+    Null and empty texts weigh nothing and are kept at their cell's rate; a null source or language is a value of its own;
+    rows alike in doc_id (of a null one in text) share their fate; texts of any length are counted whole; an empty table
+    gives no rows.
+    """
     marked, names = calibrate(*features(docs), targets, rate, seed)
     return marked.where(names["kept"]).select(*[marked[f"`{c}`"] for c in docs.columns])
 

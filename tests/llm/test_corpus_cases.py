@@ -236,6 +236,9 @@ def test_mixing_against_a_plain_rake_and_draw(spark):
     for r in rows:
         want = p[(r[3], r[2] or "(none)", r[5])]
         assert got[r[0]][0] == pytest.approx(want, rel=1e-6) and got[r[0]][1] == (h[r[0]] < got[r[0]][0])
+    told = {(r.dimension, r.value): r for r in mixing.report(out, n, targets).collect()}
+    assert all(r.expected == pytest.approx(r.wanted, rel=1e-6) and abs(r.achieved - r.wanted) < 0.12 for r in told.values())
+    assert told["lang", "de"].wanted == pytest.approx(0.3) and len(told) == 7
     sampled = mixing.mix(docs, targets, 0.4)
     assert sampled.columns == docs.columns and {r.doc_id for r in sampled.collect()} == {i for i, (_, kept) in got.items() if kept}
     wide = spark.createDataFrame([(1, "a " * 50_000, "en", "s", 1)], DOC)
