@@ -247,14 +247,14 @@ def op1_language_id(spark, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-#: A document is rejected if it has no letter, if it reads as noise rather than any language, or if no language reaches this
+#: A document is rejected if it has no letter, if more than this of its probability is noise's, or if no language reaches that
 #: mean probability.
-LEAST_SCORE = 0.4
+MOST_NOISE, LEAST_SCORE = 0.65, 0.3
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs, all columns, whose language is told: a language, not noise, has the greatest pooled probability (of
-    equal ones a language counts), and it is `least` or more.
+    """The rows of docs, all columns, whose language is told: a language has a pooled probability of `least` or more, and noise
+    one of MOST_NOISE at most.
 
     Null and empty texts and texts without letters go; repeated rows share their fate; an empty table, or one without any
     labelled text, gives no rows; very long texts stream through. The network is fitted with noise as a class of its own.
@@ -270,6 +270,6 @@ def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
                 p = pooled(net, [t or b"" for t in utf8(b.column(at))])
                 told = np.array([v != UND for v in net.langs])
                 best = p[:, told].max(axis=1)
-                yield b.filter(pa.array((best >= least) & (best >= p[:, ~told].max(axis=1, initial=0.0))))
+                yield b.filter(pa.array((best >= least) & (p[:, ~told].max(axis=1, initial=0.0) <= MOST_NOISE)))
 
     return docs.where(F.col("text").rlike(LETTER)).mapInArrow(run, docs.schema)

@@ -36,6 +36,9 @@ DRAWN, ALPHA = 400, 0.05
 BODY = 5
 #: Occurrences from which a state is held against others by its counts.
 TOLD = 12
+#: How much further below its weakest labelled credentials a format with a literal head may go, in units of the spread: fresh
+#: bodies hold pairs of characters that no labelled one has.
+SLACK = 0.25
 #: A candidate must be likelier than under the background by so many nats a character, and by so many in all.
 MARGIN, MARGIN_ALL = 0.7, 14.0
 
@@ -161,14 +164,14 @@ class Automaton:
 
     def ends(self, run: str, start: int):
         """(length, log likelihood) of the words that begin at a place of run, for every end at which one may stop: that of
-        the run, and before = / or . or a character that the automaton doesn't let pass."""
-        at, total = 0, 0.0
+        the run, also without dashes at its end, and before = / or . or a character that the automaton doesn't let pass."""
+        at, total, dashes = 0, 0.0, len(run.rstrip("-"))
         for i in range(start, len(run)):
             ch = run[i]
             move = self.moves[at].get(ch)
             if move is None and ch in self.alphabet:
                 move = self.other[at]
-            if i > start and (move is None or ch in "=/."):
+            if i > start and (move is None or ch in "=/." or i == dashes):
                 yield i - start, total + self.stop[at]
             if move is None:
                 return
@@ -208,7 +211,7 @@ class Grammar:
             # A format's bodies draw on as they may. The corpus' values have no head, so they would be walked from each start to
             # the run's end: they are scored up to the longest labelled.
             for size, p in a.ends(run if k in FORMATS else run[: at + a.most + 1], at):
-                if size < max(16, a.least) or k not in FORMATS and size > a.most or a.typical(p, size) < a.floor:
+                if size < max(16, a.least) or k not in FORMATS and size > a.most or a.typical(p, size) < a.floor - (SLACK if k in FORMATS else 0.0):
                     continue
                 gain = p - self.background.loglik(run[at : at + size])
                 if gain >= max(MARGIN_ALL, MARGIN * size):
@@ -244,7 +247,7 @@ def find(text: str, grammar: Grammar | None) -> tuple[list[tuple[int, int, str]]
     base = base_spans(text)
     added = []
     for m in CANDIDATE.finditer(text) if grammar else ():
-        run = m[0].rstrip(".=-")
+        run = m[0].rstrip(".=")
         if len(run) < 16:
             continue
         found = []
