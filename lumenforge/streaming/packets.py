@@ -331,17 +331,22 @@ def instrument_json(instrument) -> str:
     return json.dumps({k: found.get(k) or "" for k in names}, sort_keys=True)
 
 
+def class_number(name: str | None) -> int:
+    """Number of a spectrum class on the wire, by its name with or without a prefix; 0 for an unknown one."""
+    return next((n for c, n in CLASSES.items() if (name or "").endswith(c)), 0)
+
+
 def numbered_runs(runs: DataFrame) -> list[dict]:
     """Rows of the run table as dictionaries with the dataset_id that a stream gives them: spectral runs by name from 1 on,
     then genomic ones. A run table is small: it is metadata of which each run has one row."""
     rows = [r.asDict() for r in runs.collect()]
-    genomic = lambda r: r.get("modality") == "genomic" or r.get("spectrum_class") == "GenomicRead"
+    genomic = lambda r: r.get("modality") == "genomic" or (r.get("spectrum_class") or "").endswith("GenomicRead")
     rows.sort(key=lambda r: (genomic(r), r["run_name"]))
     return [r | {"dataset_id": i, "genomic": genomic(r)} for i, r in enumerate(rows, 1)]
 
 
 def _numbered(df: DataFrame, runs: list[dict], index: str) -> DataFrame:
-    ids = df.sparkSession.createDataFrame([(r["run_name"], r["dataset_id"], CLASSES.get(r.get("spectrum_class") or "", 0), r.get("acquisition_mode") or 0) for r in runs], "run_name string, dataset_id long, spectrum_class int, acquisition_mode int")
+    ids = df.sparkSession.createDataFrame([(r["run_name"], r["dataset_id"], class_number(r.get("spectrum_class")), r.get("acquisition_mode") or 0) for r in runs], "run_name string, dataset_id long, spectrum_class int, acquisition_mode int")
     return df.drop("dataset_id", "spectrum_class", "acquisition_mode").join(F.broadcast(ids), "run_name").withColumn("au_sequence", F.col(index))
 
 
@@ -485,7 +490,7 @@ def read_dataset(packets: DataFrame) -> tuple[dict[str, DataFrame], dict]:
     rows = []
     for s in sets:
         about = json.loads(s["instrument_json"] or "{}")
-        genomic = s["spectrum_class"] == "GenomicRead"
+        genomic = s["spectrum_class"].endswith("GenomicRead")  # other programs put a prefix before a class's name
         rows.append((s["name"], "genomic" if genomic else "spectral", s["spectrum_class"], s["acquisition_mode"], s["channel_names"], s["dataset_id"], s["expected_au_count"], about.get("reference_uri"), about.get("platform"), about.get("sample_name")))
     runs = spark.createDataFrame(rows, "run_name string, modality string, spectrum_class string, acquisition_mode int, channel_names array<string>, dataset_id int, spectrum_count long, reference_uri string, platform string, sample_name string")
     units = parse_units(packets, arrays=True).join(F.broadcast(runs.select("run_name", F.col("dataset_id").cast("long").alias("dataset_id"))), "dataset_id")
