@@ -2,13 +2,12 @@
 
 A line's shingles are SHINGLE characters in a row at every place, within words and across blanks. Their MinHash signature has
 one minimum for each of 24 classes of hashes (one-permutation hashing); a class without any takes that of one of two others,
-else of the whole line. Rows of
-shingles are aggregated to signatures; those that can hardly be a minimum, by their value and the line's length, don't get
-that far. Lines that share a band's hash are compared with the band's pivot; lines of a band that still fall into different
-components are compared all with each other, in salted blocks. So no two lines that share a band stay apart unless their
-similarity was found too small; comparisons grow with the square of the lines of a band that are not alike. Long lines of
-which less than half a signature agrees aren't compared any further; for all others the Jaccard similarity is verified on the
-whole shingle sets. Union-find over the links leaves one line per component.
+else of the whole line. Rows of shingles are aggregated to signatures; those that can hardly be a minimum, by their value and
+the line's length, don't get that far. Lines that share a band's hash are compared with the band's pivot; lines of a band that
+still fall into different components are compared all with each other, in salted blocks. So no two lines that share a band
+stay apart unless their similarity was found too small; comparisons grow with the square of the lines of a band that are not
+alike. Long lines that agree in fewer than half the classes aren't compared any further; for all others the Jaccard similarity
+is verified on the whole shingle sets. Union-find over the links leaves one line per component.
 """
 
 from __future__ import annotations
