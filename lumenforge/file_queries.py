@@ -111,7 +111,7 @@ _FEW = "l_orderkey < 300"
 
 def _reads(view) -> DataFrame:
     seq = F.expr(_SEQ.format("read_index", "string"))
-    return view.where(_FEW).withColumns({"seq": seq, "qual": F.concat(F.substring("seq", 1, 31), F.lit("I")), "mapq": (F.col("position") % 60).cast("int"), "mate_chromosome": F.when(F.col("flags") % 2 == 0, F.col("chromosome")).otherwise("*"), "mate_position": F.when(F.col("flags") % 2 == 0, F.col("position") + 100).otherwise(-1).cast("long"), "template_length": (F.col("position") % 500 - 250).cast("int")}).withColumn("cigar", F.lit("10S22M"))
+    return view.where(_FEW).withColumns({"read_index": F.col("read_index").cast("long"), "seq": seq, "qual": F.concat(F.substring("seq", 1, 31), F.lit("I")), "mapq": (F.col("position") % 60).cast("int"), "mate_chromosome": F.when(F.col("flags") % 2 == 0, F.col("chromosome")).otherwise("*"), "mate_position": F.when(F.col("flags") % 2 == 0, F.col("position") + 100).otherwise(-1).cast("long"), "template_length": (F.col("position") % 500 - 250).cast("int")}).withColumn("cigar", F.lit("10S22M"))
 
 
 _READ_SQL = "read_name, flags, chromosome, position, cast(position % 60 as integer) as mapq, " + _SEQ.format("read_index", "varchar") + " as seq, cast(case when flags % 2 = 0 then position + 100 else 0 end as bigint) as mate_position, cast(position % 500 - 250 as integer) as template_length, case when flags % 2 = 0 then chromosome else '*' end as mate_chromosome"

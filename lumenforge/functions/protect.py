@@ -77,8 +77,8 @@ def _little(c: Column, n: int) -> Column:
 
 
 def aad(dataset_id: Column, sequence: Column, channel: Column) -> Column:
-    """Dataset (u16 LE), sequence (u32 LE) and channel name, as additional authenticated data."""
-    return F.concat(_little(dataset_id.cast("long"), 2), _little(sequence.cast("long"), 4), channel.cast("binary"))
+    """Dataset (u16 LE), sequence (u32 LE; of wider ones the low 32 bits) and channel name, as additional authenticated data."""
+    return F.concat(_little(dataset_id.cast("long"), 2), _little(F.pmod(sequence, F.lit(1 << 32)).cast("long"), 4), channel.cast("binary"))
 
 
 def seal(value: Column, key: Column, data: Column) -> Column:
