@@ -38,3 +38,14 @@ def test_queries_of_reads_beyond_a_long(spark, large, name):
     wanted = con.sql(driver.oracle_sql()[name])
     plain = lambda rows: sorted(tuple(str(int(v) if isinstance(v, Decimal) else v) for v in r) for r in rows)
     assert plain(driver.queries()[name](spark, large).select(*wanted.columns).collect()) == plain(wanted.fetchall())
+
+
+def test_jcamp_keeps_the_side_of_a_rounding(spark, tmp_path):
+    # As floats, values near the middle of two steps of 0.0001, beside a greater one that sets the factor.
+    near = [0.02355, -0.04275, 0.01295, 0.12585, 0.03125, 0.9]
+    spark.createDataFrame([(0, near * 3), (7, [-v for v in near])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    wanted = sorted((i, list(y), n) for i, y, n in con.sql(driver.oracle_sql()["jcamp_round_trip"]).fetchall())
+    assert sorted((r[0], r[1], r[2]) for r in driver.queries()["jcamp_round_trip"](spark, str(tmp_path)).collect()) == wanted
