@@ -291,8 +291,7 @@ def codec_round_trip(table):
     df = table("documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
     df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)  # coding takes far longer than the move
     (pack, unpack), (code, decode) = BYTES["bases"], BYTES["rans"]
-    df = with_bytes(with_bytes(df, "raw", "packed", pack), "packed", "coded", code)
-    df = with_bytes(with_bytes(df, "coded", "again", decode), "again", "whole", unpack)
+    df = with_bytes(df, "raw", "whole", pack, code, decode, unpack)
     return df.where("raw = whole").select("doc_id", F.length(F.col("whole").cast("string")).cast("long").alias("n"))
 
 

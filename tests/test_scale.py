@@ -40,6 +40,27 @@ def test_queries_of_reads_beyond_a_long(spark, large, name):
     assert plain(driver.queries()[name](spark, large).select(*wanted.columns).collect()) == plain(wanted.fetchall())
 
 
+def test_codecs_take_strings_in_bounded_parts(spark, monkeypatch):
+    from lumenforge.functions import codecs
+
+    monkeypatch.setattr(codecs, "AT_ONCE", 1000)
+
+    def most(rows):  # each string as the bytes it came with
+        return [str(sum(len(r) for r in rows)).encode() for _ in rows]
+
+    rows = [(i, None if i % 7 == 0 else bytes(i % 50) if i != 55 else bytes(5000)) for i in range(200)]
+    got = {r[0]: (r[1], r[2]) for r in codecs.with_bytes(spark.createDataFrame(rows, "i long, raw binary").coalesce(1), "raw", "to", most).collect()}
+    assert len(got) == 200 and all((a is None) == (b is None) for a, b in got.values())
+    assert int(got[55][1]) == 5000 and max(int(b) for i, (a, b) in got.items() if b is not None and i != 55) <= 1000
+
+
+def test_text_round_trip_runs_in_one_worker(spark, tmp_path):
+    spark.createDataFrame([(1, "ACGTx\u00e9"), (2, ""), (3, "AC" * 3000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = driver.queries()["codec_round_trip"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [(1, 6), (2, 0), (3, 6000)]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_jcamp_keeps_the_side_of_a_rounding(spark, tmp_path):
     # As floats, values near the middle of two steps of 0.0001, beside a greater one that sets the factor.
     near = [0.02355, -0.04275, 0.01295, 0.12585, 0.03125, 0.9]
