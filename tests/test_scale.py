@@ -70,3 +70,25 @@ def test_jcamp_keeps_the_side_of_a_rounding(spark, tmp_path):
     con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     wanted = sorted((i, list(y), n) for i, y, n in con.sql(driver.oracle_sql()["jcamp_round_trip"]).fetchall())
     assert sorted((r[0], r[1], r[2]) for r in driver.queries()["jcamp_round_trip"](spark, str(tmp_path)).collect()) == wanted
+
+
+def test_asynchronous_moves_no_pairs_of_blocks(spark):
+    import numpy as np
+
+    from lumenforge.operators import correlation as cos
+
+    v = np.random.default_rng(5).normal(size=(700, 3))
+    table = spark.createDataFrame([(10 * j, k, float(v[j, k])) for j in range(700) for k in range(3)], "j long, k long, value double")
+    gap = np.arange(700)[None, :] - np.arange(700)[:, None]
+    noda = np.where(gap == 0, 0.0, 1 / (np.pi * np.where(gap == 0, 1, gap)))
+    d = v - v.mean(axis=0)
+    wanted = d.T @ noda @ d / 699
+    for rows in (32, 64, 1024, None):  # trees of several levels, an odd end, a single chunk
+        df = cos.asynchronous(table, rows=rows)
+        got = np.zeros((3, 3))
+        for a, b, x in df.collect():
+            got[a, b] = x
+        assert np.abs(got - wanted).max() < 1e-12
+        assert "explode(sequence" not in df._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError):
+        cos.asynchronous(table, rows=48)
