@@ -59,9 +59,11 @@ def first_differences(df: DataFrame, run: str, index: str, value: str) -> DataFr
 
 
 def sequence_violations(units: DataFrame, dataset: str = "dataset_id", sequence: str = "au_sequence", arrival: str = "arrival") -> DataFrame:
-    """Units whose sequence number isn't greater than all before them in their dataset."""
+    """Units whose sequence number isn't greater than all before them in their dataset. Of units that arrive at once the one with
+    the lower number comes first, so the result doesn't depend on tasks."""
     out = _before(blocked(units, [dataset], arrival), [dataset], {"_sum": F.max(sequence)}, {"_base": F.max("_sum")})
-    most = F.greatest(F.max(sequence).over(_earlier([dataset], arrival)), F.col("_base"))
+    earlier = Window.partitionBy(dataset, "_block").orderBy(arrival, sequence).rowsBetween(Window.unboundedPreceding, -1)
+    most = F.greatest(F.max(sequence).over(earlier), F.col("_base"))
     return out.withColumn("_most", most).where(F.col(sequence) <= F.col("_most")).drop("_most", "_base", "_block")
 
 

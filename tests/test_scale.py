@@ -92,3 +92,12 @@ def test_asynchronous_moves_no_pairs_of_blocks(spark):
         assert "explode(sequence" not in df._jdf.queryExecution().optimizedPlan().toString()
     with pytest.raises(ValueError):
         cos.asynchronous(table, rows=48)
+
+
+def test_units_that_arrive_at_once_come_by_number(spark):
+    from lumenforge.operators import index as ix
+
+    rows = [(1, n, n // 5) for n in range(40)]
+    for order in (rows, rows[::-1]):
+        units = spark.createDataFrame(order, "dataset_id int, au_sequence long, arrival long").coalesce(1)
+        assert ix.sequence_violations(units).count() == 0
