@@ -6,8 +6,9 @@ else of the whole line. Rows of shingles are aggregated to signatures; those tha
 the line's length, don't get that far. Lines that share a band's hash are compared with the band's pivot; lines of a band that
 still fall into different components are compared all with each other, in salted blocks. So no two lines that share a band
 stay apart unless their similarity was found too small; comparisons grow with the square of the lines of a band that are not
-alike. Long lines that agree in fewer than half the classes aren't compared any further; for all others the Jaccard similarity
-is verified on the whole shingle sets. Union-find over the links leaves one line per component.
+alike. Long lines that agree in fewer than half the classes aren't compared any further, nor lines whose bitmaps of shingles show
+that they are too unlike, which loses no link; for all others the Jaccard similarity is verified on the whole shingle sets.
+Union-find over the links leaves one line per component.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ FEW_EMPTY = 6
 #: Equal classes of 24 from which long lines are verified: 2 in 10,000 pairs at a similarity of 0.8 have fewer. In short lines,
 #: of fewer shingles than LONG, classes depend on each other, and all are verified.
 AGREE, LONG = 12, 100
+#: Words of 64 bits of a line's bitmap of shingles.
+WORDS = 16
+_BITS = [f"bits{i}" for i in range(WORDS)]
 
 
 def shingles(line: Column) -> Column:
@@ -41,15 +45,35 @@ def shingles(line: Column) -> Column:
     return F.transform(F.array(F.encode(line, "UTF-32")), at)[0]
 
 
-def _minima(lines: DataFrame, reach: int | None) -> DataFrame:
-    """id, size (number of shingles with repeats) and the least value m0 to m23 of each class of the shingles of lines (id,
-    line), an id once; null for a class without any within reach, that is, among the lowest `reach` of `size`."""
-    classes, wide = BANDS * BAND_ROWS, F.encode("line", "UTF-32")
+def _hashes(lines: DataFrame) -> DataFrame:
+    """id, size (number of shingles with repeats), at and h, the hash of the shingle there, of lines (id, line)."""
+    wide = F.encode("line", "UTF-32")
     sized = lines.select("id", wide.alias("w")).withColumn("size", F.greatest(F.lit(1), F.shiftright(F.octet_length("w"), 2) - (SHINGLE - 1)))
     # Exploded places keep to generated code, which hashes some ten times as many shingles a second as a lambda.
     each = sized.select("id", "size", "w", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("at"))
-    each = each.select("id", "size", "at", F.xxhash64(F.substring("w", F.col("at") * 4 + 1, F.lit(4 * SHINGLE))).alias("h"))
-    each = each.select("id", "size", "at", F.shiftrightunsigned("h", 33).cast("int").alias("v"), F.pmod("h", F.lit(classes)).cast("int").alias("class"))
+    return each.select("id", "size", "at", F.xxhash64(F.substring("w", F.col("at") * 4 + 1, F.lit(4 * SHINGLE))).alias("h"))
+
+
+def _bitmaps(lines: DataFrame) -> DataFrame:
+    """id and bits0 to bits15, in which each shingle of the line sets a bit; lines (id, line) may come several times."""
+    word, bit = F.col("h").bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 8) & 63 as int))")
+    return _hashes(lines).groupBy("id").agg(*[F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")).alias(c) for i, c in enumerate(_BITS)])
+
+
+def _may_be_similar(x: str = "a", y: str = "b") -> Column:
+    """Whether the bitmaps leave open that two lines are similar. The bits that only one of them has are at most as many as the
+    shingles that only it has, and a size that counts repeats is at least that of the set, so no similar lines are lost."""
+    only = lambda p, q: sum((F.bit_count(F.col(c + p).bitwiseAND(F.bitwise_not(F.col(c + q)))) for c in _BITS), F.lit(0))
+    (most, of), a, b = SIMILAR, only(x, y), only(y, x)
+    # of * (size - a) >= most * (size + b), for either line
+    return ((of - most) * F.col(f"size{x}") >= of * a + most * b) & ((of - most) * F.col(f"size{y}") >= of * b + most * a)
+
+
+def _minima(lines: DataFrame, reach: int | None) -> DataFrame:
+    """id, size (number of shingles with repeats) and the least value m0 to m23 of each class of the shingles of lines (id,
+    line), an id once; null for a class without any within reach, that is, among the lowest `reach` of `size`."""
+    classes = BANDS * BAND_ROWS
+    each = _hashes(lines).select("id", "size", "at", F.shiftrightunsigned("h", 33).cast("int").alias("v"), F.pmod("h", F.lit(classes)).cast("int").alias("class"))
     if reach:  # the first shingle stays, without a class, so that every line has a row
         near = F.col("v") < F.lit(2.0**31 * reach) / F.col("size")
         each = each.where(near | (F.col("at") == 0)).withColumn("class", F.when(near, F.col("class")).otherwise(-1))
@@ -124,14 +148,14 @@ def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _all_pairs(apart: DataFrame) -> DataFrame:
-    """Every pair (a, b) of lines that share a band, have different roots and agree, once; of (band, id, root) and their
-    signatures. A band's lines are dealt over blocks, and every two blocks meet under a key of their own."""
+    """Every pair (a, b) of lines that share a band, have different roots, agree and may be similar, once; of (band, id, root)
+    with signatures and bitmaps. A band's lines are dealt over blocks, and every two blocks meet under a key of their own."""
     sized = apart.join(apart.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "band")
     sized = sized.withColumn("own", F.pmod(F.xxhash64("id", "band"), F.col("blocks")))
-    about = lambda x: [F.col("id").alias(x), F.col("root").alias(f"r{x}"), *[F.col(c).alias(c + x) for c in ("size", "sig0", "sig1", "sig2")]]
+    about = lambda x: [F.col("id").alias(x), F.col("root").alias(f"r{x}"), *[F.col(c).alias(c + x) for c in ("size", "sig0", "sig1", "sig2", *_BITS)]]
     left = sized.select("band", *about("a"), F.col("own").alias("low"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("high"))
     right = sized.select("band", *about("b"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("low"), F.col("own").alias("high"))
-    met = left.join(right, ["band", "low", "high"]).where("ra <> rb and (low < high or a < b)").where(_agreeing())
+    met = left.join(right, ["band", "low", "high"]).where("ra <> rb and (low < high or a < b)").where(_agreeing()).where(_may_be_similar())
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -167,15 +191,22 @@ def line_components(docs: DataFrame) -> DataFrame:
 
     # Lines of one band that are still apart are compared with each other.
     stars = lambda: roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    rest = materialize(_apart(members, roots).join(signed.drop("bands"), "id"), "line-rest")
+    apart = materialize(_apart(members, roots), "line-apart")
+    rest = materialize(apart.join(signed.drop("bands"), "id"), "line-rest")
     if not rest.isEmpty():
+        left = small_or_shuffled(apart.select("id").distinct())
+        bitmaps = materialize(_bitmaps(named.join(left, "id", "left_semi")), "line-bitmaps")
+        whole = materialize(rest.join(bitmaps, "id"), "line-rest")
+        for done in (rest, bitmaps):
+            drop_table(done)
+        rest = whole
         more = materialize(_all_pairs(rest).join(pairs, ["a", "b"], "left_anti"), "line-pairs")
         found = materialize(_links(more, texts(more)), "line-links")
         if not found.isEmpty():
             roots = connected_components(stars().unionByName(found))
         drop_table(found)
         drop_table(more)
-    for done in (signed, members, pairs, near, rest):
+    for done in (signed, members, pairs, near, apart, rest):
         drop_table(done)
 
     owned = places.join(small_or_shuffled(roots.withColumnRenamed("node", "id")), "id", "left").select("doc_id", "line_no", F.coalesce("root", "id").alias("root"))

@@ -101,3 +101,26 @@ def test_units_that_arrive_at_once_come_by_number(spark):
     for order in (rows, rows[::-1]):
         units = spark.createDataFrame(order, "dataset_id int, au_sequence long, arrival long").coalesce(1)
         assert ix.sequence_violations(units).count() == 0
+
+
+def test_line_bitmaps_lose_no_similar_lines_and_drop_unlike_ones(spark):
+    import random
+
+    from lumenforge.llm import lines
+
+    rng = random.Random(3)
+    draw = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    text = ["x", "ab" * 90, "ab" * 40, "=" * 50, "日本語の文です" * 20]
+    for n in (12, 90, 200, 1500):
+        base = draw(n)
+        for cut in range(0, n, max(1, n // 9)):
+            text += [base[:cut] + draw(1) + base[cut + 1 :], base[:cut] + draw(n - cut)]
+    df = spark.createDataFrame(list(enumerate(text)) * 2, "id long, line string")
+    sized = lines._hashes(df).groupBy("id").agg({"size": "max"}).toDF("id", "size").join(lines._bitmaps(df), "id").cache()
+    side = lambda x: sized.select(*[F.col(c).alias(c + x) for c in sized.columns])
+    met = {(r[0], r[1]) for r in side("a").join(side("b"), F.col("ida") < F.col("idb")).where(lines._may_be_similar()).select("ida", "idb").collect()}
+    sets = [{x[i : i + lines.SHINGLE] for i in range(max(1, len(x) - lines.SHINGLE + 1))} for x in text]
+    share = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(len(text)) for i in range(j)}
+    assert {p for p, v in share.items() if v >= 0.8} <= met and sum(v >= 0.8 for v in share.values()) > 40
+    unlike = [p for p, v in share.items() if v < 0.6 and 80 < min(len(sets[p[0]]), len(sets[p[1]])) and max(len(sets[p[0]]), len(sets[p[1]])) < 400]
+    assert len(unlike) > 40 and not met & set(unlike)
