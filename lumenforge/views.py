@@ -45,18 +45,18 @@ def text(name: str, dialect: str) -> str:
     return VIEWS[name][1].format(string="string" if dialect == "spark" else "varchar", micros=_MICROS[dialect], begun=BEGUN)
 
 
-#: The last step to a read's index, which is beyond a long from about two million orders on.
-_LAST_STEP = "* 16777216"
+#: The first step to a read's index, which is beyond a long from about two million orders on; in decimals no step is.
+_FIRST_STEP, _IN_DECIMALS = "l_orderkey * 8", "cast(l_orderkey as decimal(20, 0)) * 8"
 
 
 def _wide(lineitem: DataFrame) -> bool:
-    """Whether an index of the reads is beyond a long."""
-    high = "(l_orderkey * 8 + l_linenumber) * 32768 + l_partkey % 32768"
+    """Whether an index of the reads, or a step to it, is beyond a long."""
+    high = f"({_IN_DECIMALS} + l_linenumber) * 32768 + l_partkey % 32768"
     low = "cast(round(l_extendedprice * 100) as bigint)"
     ends = lineitem.selectExpr(f"max({high})", f"max({low})", f"min({high})", f"min({low})").first()
     if None in ends:
         return False
-    most, added, least, less = ends
+    most, added, least, less = map(int, ends)
     return most * 16777216 + added >= 1 << 63 or least * 16777216 + less < -(1 << 63)
 
 
@@ -64,8 +64,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view of a table. Indices of reads are longs where all of the table fit, else decimals of 38 digits."""
     table, _ = VIEWS[name]
     rows, sql = spark.read.parquet(f"{sf_dir}/{table}.parquet"), text(name, "spark")
-    if _LAST_STEP in sql and _wide(rows):
-        sql = sql.replace(_LAST_STEP, "* cast(16777216 as decimal(38, 0))")
+    if _FIRST_STEP in sql and _wide(rows):
+        sql = sql.replace(_FIRST_STEP, _IN_DECIMALS)
     return spark.sql(sql.replace(f"from {table}", "from {t}"), t=rows)
 
 

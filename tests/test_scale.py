@@ -30,6 +30,16 @@ def test_index_of_reads_beyond_a_long(spark, large):
     assert dict(few.dtypes)["read_index"] == "bigint" and sorted(r[0] for r in few.select("read_index").collect()) == sorted(index(r) for r in ROWS[:3])
 
 
+def test_index_of_reads_of_the_greatest_keys(spark, tmp_path):
+    # From 2^45 orders on a step to the index is beyond a long as well.
+    far = [(k, *r[1:]) for k, r in zip([2**45, -(2**45), 10**15, 2**63 - 1, -(2**63), 7], ROWS)]
+    spark.createDataFrame(far, READS).write.parquet(f"{tmp_path}/lineitem.parquet")
+    reads = view(spark, str(tmp_path), "reads")
+    assert dict(reads.dtypes)["read_index"] == "decimal(38,0)"
+    assert sorted(int(r[0]) for r in reads.select("read_index").collect()) == sorted(index(r) for r in far)
+    assert driver.queries()["offsets"](spark, str(tmp_path)).count() == len(far)
+
+
 @pytest.mark.parametrize("name", "chromosome_names coordinate_sort flag_mask offsets reads_in_mask_regions unique_read_names chromosome_order export_names genomic_region reference_of_reads unit_filter_genomic cigar_span first_differences mate_classes read_flags sealed_round_trip unmapped_reads".split())
 def test_queries_of_reads_beyond_a_long(spark, large, name):
     duckdb = pytest.importorskip("duckdb")
