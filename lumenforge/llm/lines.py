@@ -33,7 +33,7 @@ FEW_EMPTY = 6
 #: of fewer shingles than LONG, classes depend on each other, and all are verified.
 AGREE, LONG = 12, 100
 #: Words of 64 bits of a line's bitmap of shingles.
-WORDS = 16
+WORDS = 32
 _BITS = [f"bits{i}" for i in range(WORDS)]
 
 
@@ -55,18 +55,20 @@ def _hashes(lines: DataFrame) -> DataFrame:
 
 
 def _bitmaps(lines: DataFrame) -> DataFrame:
-    """id and bits0 to bits15, in which each shingle of the line sets a bit; lines (id, line) may come several times."""
+    """id, bits0 to bits31, in which each shingle of the line sets a bit, and ones, how many bits are set; lines (id, line) may
+    come several times."""
     word, bit = F.col("h").bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 8) & 63 as int))")
-    return _hashes(lines).groupBy("id").agg(*[F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")).alias(c) for i, c in enumerate(_BITS)])
+    found = _hashes(lines).groupBy("id").agg(*[F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")).alias(c) for i, c in enumerate(_BITS)])
+    return found.withColumn("ones", sum((F.bit_count(c) for c in _BITS), F.lit(0)))
 
 
 def _may_be_similar(x: str = "a", y: str = "b") -> Column:
     """Whether the bitmaps leave open that two lines are similar. The bits that only one of them has are at most as many as the
     shingles that only it has, and a size that counts repeats is at least that of the set, so no similar lines are lost."""
-    only = lambda p, q: sum((F.bit_count(F.col(c + p).bitwiseAND(F.bitwise_not(F.col(c + q)))) for c in _BITS), F.lit(0))
-    (most, of), a, b = SIMILAR, only(x, y), only(y, x)
-    # of * (size - a) >= most * (size + b), for either line
-    return ((of - most) * F.col(f"size{x}") >= of * a + most * b) & ((of - most) * F.col(f"size{y}") >= of * b + most * a)
+    # The bits that both have are counted once: only a = ones a - both, and of * (size - only a) >= most * (size + only b).
+    both, (most, of) = sum((F.bit_count(F.col(c + x).bitwiseAND(F.col(c + y))) for c in _BITS), F.lit(0)), SIMILAR
+    least = lambda p, q: of * F.col(f"ones{p}") + most * F.col(f"ones{q}") - (of - most) * F.col(f"size{p}")
+    return (of + most) * both >= F.greatest(least(x, y), least(y, x))
 
 
 def _minima(lines: DataFrame, reach: int | None) -> DataFrame:
@@ -123,14 +125,15 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar. Sets are made from the lines here, since they are many times as long."""
-    ta, tb = (texts.select(F.col("id").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
+    """The pairs (a, b), with what columns they have, whose shingle sets are similar. Sets are made from the lines here, since they are many times as long."""
+    counted = texts.withColumn("n", F.size(F.array_distinct(shingles(F.col("line")))))
+    ta, tb = (counted.select(F.col("id").alias(x), F.col("line").alias(f"l{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
     both = pairs.join(ta, "a").join(tb, "b")
     # Inside lambdas, so that the loops stay out of the stage's generated code, whose compilation took over a GB.
-    sets = F.array(F.struct(*[F.array_distinct(shingles(F.col(f"l{x}"))).alias(f"s{x}") for x in "ab"]))
-    sizes = F.transform(sets, lambda p: F.struct(F.size(F.array_intersect(p["sa"], p["sb"])).alias("c"), (F.size(p["sa"]) + F.size(p["sb"])).alias("n")))
+    sets = F.array(F.struct(*[shingles(F.col(f"l{x}")).alias(f"s{x}") for x in "ab"], (F.col("na") + F.col("nb")).alias("n")))
+    sizes = F.transform(sets, lambda p: F.struct(F.size(F.array_intersect(p["sa"], p["sb"])).alias("c"), p["n"].alias("n")))
     near = F.transform(sizes, lambda p: F.lit(SIMILAR[1]) * p["c"] >= F.lit(SIMILAR[0]) * (p["n"] - p["c"]))[0]
-    return both.where(near).select("a", "b")
+    return both.where(near).select(pairs.columns)
 
 
 def _bucketed(rows: DataFrame) -> DataFrame:
@@ -148,15 +151,19 @@ def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _all_pairs(apart: DataFrame) -> DataFrame:
-    """Every pair (a, b) of lines that share a band, have different roots, agree and may be similar, once; of (band, id, root)
-    with signatures and bitmaps. A band's lines are dealt over blocks, and every two blocks meet under a key of their own."""
+    """Every pair (a, b) of lines that share a band, have different roots, agree and may be similar, with their roots ra and rb,
+    once: in the first band they share, unless one is that band's pivot, with which it was compared; of (band, id, root) with
+    signatures, bands and bitmaps. A band's lines are dealt over blocks, and every two blocks meet under a key of their own."""
     sized = apart.join(apart.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "band")
     sized = sized.withColumn("own", F.pmod(F.xxhash64("id", "band"), F.col("blocks")))
-    about = lambda x: [F.col("id").alias(x), F.col("root").alias(f"r{x}"), *[F.col(c).alias(c + x) for c in ("size", "sig0", "sig1", "sig2", *_BITS)]]
+    each = lambda x: [F.col("bands")[i].alias(f"band{i}{x}") for i in range(BANDS)]
+    about = lambda x: [F.col("id").alias(x), F.col("root").alias(f"r{x}"), *[F.col(c).alias(c + x) for c in ("size", "sig0", "sig1", "sig2", "ones", *_BITS)], *each(x)]
     left = sized.select("band", *about("a"), F.col("own").alias("low"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("high"))
     right = sized.select("band", *about("b"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("low"), F.col("own").alias("high"))
-    met = left.join(right, ["band", "low", "high"]).where("ra <> rb and (low < high or a < b)").where(_agreeing()).where(_may_be_similar())
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = F.coalesce(*[F.when(F.col(f"band{i}a") == F.col(f"band{i}b"), F.col(f"band{i}a")) for i in range(BANDS)])
+    met = left.join(right, ["band", "low", "high"]).where("ra <> rb and (low < high or a < b)").where(_agreeing()).where(first == F.col("band")).where(_may_be_similar())
+    turned = F.col("a") > F.col("b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("rb")).otherwise(F.col("ra")).alias("ra"), F.when(turned, F.col("ra")).otherwise(F.col("rb")).alias("rb"))
 
 
 def line_components(docs: DataFrame) -> DataFrame:
@@ -190,9 +197,10 @@ def line_components(docs: DataFrame) -> DataFrame:
     roots = connected_components(near)
 
     # Lines of one band that are still apart are compared with each other.
-    stars = lambda: roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     apart = materialize(_apart(members, roots), "line-apart")
-    rest = materialize(apart.join(signed.drop("bands"), "id"), "line-rest")
+    rest = materialize(apart.join(signed, "id"), "line-rest")
+    for done in (signed, members, near):
+        drop_table(done)
     if not rest.isEmpty():
         left = small_or_shuffled(apart.select("id").distinct())
         bitmaps = materialize(_bitmaps(named.join(left, "id", "left_semi")), "line-bitmaps")
@@ -201,12 +209,15 @@ def line_components(docs: DataFrame) -> DataFrame:
             drop_table(done)
         rest = whole
         more = materialize(_all_pairs(rest).join(pairs, ["a", "b"], "left_anti"), "line-pairs")
-        found = materialize(_links(more, texts(more)), "line-links")
+        found = materialize(_links(more, texts(more)).select("ra", "rb").distinct(), "line-links")
         if not found.isEmpty():
-            roots = connected_components(stars().unionByName(found))
+            # Many links join the same two components, so components of roots are found, not of lines anew.
+            above = connected_components(found, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("top"))
+            nodes = roots.unionByName(above.select(F.col("root").alias("node"), "root")).distinct()
+            roots = nodes.join(small_or_shuffled(above), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         drop_table(found)
         drop_table(more)
-    for done in (signed, members, pairs, near, apart, rest):
+    for done in (pairs, apart, rest):
         drop_table(done)
 
     owned = places.join(small_or_shuffled(roots.withColumnRenamed("node", "id")), "id", "left").select("doc_id", "line_no", F.coalesce("root", "id").alias("root"))

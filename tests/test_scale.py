@@ -134,3 +134,29 @@ def test_line_bitmaps_lose_no_similar_lines_and_drop_unlike_ones(spark):
     assert {p for p, v in share.items() if v >= 0.8} <= met and sum(v >= 0.8 for v in share.values()) > 40
     unlike = [p for p, v in share.items() if v < 0.6 and 80 < min(len(sets[p[0]]), len(sets[p[1]])) and max(len(sets[p[0]]), len(sets[p[1]])) < 400]
     assert len(unlike) > 40 and not met & set(unlike)
+
+
+def test_line_pairs_meet_once_with_their_roots(spark):
+    import random
+
+    from lumenforge.llm import lines
+
+    rng = random.Random(9)
+    base = rng.choices("abcdefghij ", k=400)
+    text = []
+    for _ in range(40):
+        line = list(base)
+        for at in rng.sample(range(400), 2):
+            line[at] = rng.choice("xyz")
+        text.append("".join(line))
+    df = spark.createDataFrame(list(enumerate(text)), "id long, line string")
+    signed = lines._signatures(df, lines._minima(df, lines.REACH)).cache()
+    apart = signed.select("id", F.explode("bands").alias("band"), (F.col("id") % 7 + 100).alias("root"))
+    met = lines._all_pairs(lines.materialize(apart.join(signed, "id").join(lines._bitmaps(df), "id"), "rest"))
+    got = [tuple(r) for r in met.select("a", "b", "ra", "rb").collect()]
+    assert len(got) == len(set(got)) and all(a < b and ra == a % 7 + 100 and rb == b % 7 + 100 for a, b, ra, rb in got)
+    assert "Aggregate [a" not in met._jdf.queryExecution().optimizedPlan().toString()  # once already where they meet
+    bands = {r["id"]: r["bands"] for r in signed.collect()}
+    sets = [{x[i : i + lines.SHINGLE] for i in range(len(x) - lines.SHINGLE + 1)} for x in text]
+    alike = {(i, j) for j in range(40) for i in range(j) if i % 7 != j % 7 and set(bands[i]) & set(bands[j]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(alike) > 100 and alike <= {p[:2] for p in got}
