@@ -3,11 +3,12 @@
 A line's shingles are SHINGLE characters in a row at every place, within words and across blanks. Their MinHash signature has
 one minimum for each of 24 classes of hashes (one-permutation hashing); a class without any takes that of one of two others,
 else of the whole line. Rows of shingles are aggregated to signatures; those that can hardly be a minimum, by their value and
-the line's length, don't get that far. Lines that share a band's hash are compared with the band's pivot; lines of a band that
+the line's length, don't get that far. Lines that share a band's hash are compared with the band's pivot, the line that meets most others; lines of a band that
 still fall into different components are compared all with each other, in salted blocks. So no two lines that share a band
 stay apart unless their similarity was found too small; comparisons grow with the square of the lines of a band that are not
-alike. Long lines that agree in fewer than half the classes aren't compared any further, nor lines whose bitmaps of shingles show
-that they are too unlike, which loses no link; for all others the Jaccard similarity is verified on the whole shingle sets.
+alike. Of these, long lines that agree in fewer than half the classes aren't compared any further, nor lines whose bitmaps of
+shingles show that they are too unlike, which loses no link; for all others, and for the pivots' pairs, the Jaccard similarity is
+verified on the whole shingle sets.
 Union-find over the links leaves one line per component.
 """
 
@@ -33,15 +34,14 @@ FEW_EMPTY = 6
 #: of fewer shingles than LONG, classes depend on each other, and all are verified.
 AGREE, LONG = 12, 100
 #: Words of 64 bits of a line's bitmap of shingles.
-WORDS = 32
-_BITS = [f"bits{i}" for i in range(WORDS)]
+WORDS = 64
 
 
 def shingles(line: Column) -> Column:
     """64-bit hashes of every SHINGLE characters in a row; of the whole line if it is shorter."""
     # Four bytes a character, so any place is reached at once; held by a lambda, so it isn't encoded anew for every place.
-    last = lambda wide: F.greatest(F.lit(0), F.shiftright(F.octet_length(wide), 2) - SHINGLE)
-    at = lambda wide: F.transform(F.sequence(F.lit(0), last(wide)), lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * SHINGLE))))
+    last = lambda wide: F.greatest(F.lit(1), F.octet_length(wide) - (4 * SHINGLE - 1))
+    at = lambda wide: F.transform(F.sequence(F.lit(1), last(wide), F.lit(4)), lambda i: F.xxhash64(F.substring(wide, i, F.lit(4 * SHINGLE))))
     return F.transform(F.array(F.encode(line, "UTF-32")), at)[0]
 
 
@@ -55,52 +55,61 @@ def _hashes(lines: DataFrame) -> DataFrame:
 
 
 def _bitmaps(lines: DataFrame) -> DataFrame:
-    """id, bits0 to bits31, in which each shingle of the line sets a bit, and ones, how many bits are set; lines (id, line) may
-    come several times."""
-    word, bit = F.col("h").bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 8) & 63 as int))")
-    found = _hashes(lines).groupBy("id").agg(*[F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")).alias(c) for i, c in enumerate(_BITS)])
-    return found.withColumn("ones", sum((F.bit_count(c) for c in _BITS), F.lit(0)))
+    """id, bits (an array of WORDS longs), in which each shingle of the line sets a bit, and ones, how many bits are set; lines
+    (id, line) may come several times."""
+    word, bit = F.col("h").bitwiseAND(F.lit(WORDS - 1)).alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 8) & 63 as int))")
+    # Dealt by id, so that both sums are made where the line is.
+    words = _hashes(lines.repartition("id")).groupBy("id", word).agg(F.bit_or(bit).alias("bits"))
+    found = words.groupBy("id").agg(F.array(*[F.coalesce(F.max(F.when(F.col("word") == i, F.col("bits"))), F.lit(0).cast("long")) for i in range(WORDS)]).alias("bits"), F.sum(F.bit_count("bits")).cast("int").alias("ones"))
+    return found
 
 
 def _may_be_similar(x: str = "a", y: str = "b") -> Column:
     """Whether the bitmaps leave open that two lines are similar. The bits that only one of them has are at most as many as the
     shingles that only it has, and a size that counts repeats is at least that of the set, so no similar lines are lost."""
     # The bits that both have are counted once: only a = ones a - both, and of * (size - only a) >= most * (size + only b).
-    both, (most, of) = sum((F.bit_count(F.col(c + x).bitwiseAND(F.col(c + y))) for c in _BITS), F.lit(0)), SIMILAR
+    both, (most, of) = F.aggregate(F.zip_with(f"bits{x}", f"bits{y}", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda n, c: n + c), SIMILAR
     least = lambda p, q: of * F.col(f"ones{p}") + most * F.col(f"ones{q}") - (of - most) * F.col(f"size{p}")
     return (of + most) * both >= F.greatest(least(x, y), least(y, x))
 
 
 def _minima(lines: DataFrame, reach: int | None) -> DataFrame:
-    """id, size (number of shingles with repeats) and the least value m0 to m23 of each class of the shingles of lines (id,
-    line), an id once; null for a class without any within reach, that is, among the lowest `reach` of `size`."""
+    """id, size (number of shingles with repeats), seen (a bit for each class that has any) and the least value m0 to m23 of each
+    class of the shingles of lines (id, line), an id once; null for a class without any within reach, that is, among the lowest
+    `reach` of `size`."""
     classes = BANDS * BAND_ROWS
     each = _hashes(lines).select("id", "size", "at", F.shiftrightunsigned("h", 33).cast("int").alias("v"), F.pmod("h", F.lit(classes)).cast("int").alias("class"))
     if reach:  # the first shingle stays, without a class, so that every line has a row
         near = F.col("v") < F.lit(2.0**31 * reach) / F.col("size")
         each = each.where(near | (F.col("at") == 0)).withColumn("class", F.when(near, F.col("class")).otherwise(-1))
-    return each.groupBy("id").agg(F.first("size").alias("size"), F.min("v").alias("least"), *[F.min(F.when(F.col("class") == i, F.col("v"))).alias(f"m{i}") for i in range(classes)])
+    return each.groupBy("id").agg(F.first("size").alias("size"), F.min("v").alias("least"), F.bit_or(F.when(F.col("class") >= 0, F.expr("shiftleft(1, class)"))).alias("seen"), *[F.min(F.when(F.col("class") == i, F.col("v"))).alias(f"m{i}") for i in range(classes)])
 
 
 def _signatures(lines: DataFrame, near: DataFrame) -> DataFrame:
-    """id, size, bands (array) and sig (three longs, a byte for each class) of lines (id, line), once an id; near holds their
-    minima within reach."""
+    """id, size, bands (array) and sig (three longs, a byte for each class) of lines (id, line), once an id, as tables; near holds
+    their minima within reach."""
     classes = BANDS * BAND_ROWS
-    empty = sum((F.col(f"m{i}").isNull().cast("int") for i in range(classes)), F.lit(0))
-    # Lines that repeat a few shingles may have hardly any within reach: for them all are looked at.
-    poor = (empty > FEW_EMPTY) & (F.col("size") > REACH)
-    again = _minima(lines.join(small_or_shuffled(near.where(poor).select("id")), "id", "left_semi"), None)
-    every = near.where(~poor).unionByName(again)
     third = classes // 3
     filled = [F.coalesce(f"m{i}", f"m{(i + third) % classes}", f"m{(i + 2 * third) % classes}", "least") for i in range(classes)]
-    found = every.select("id", "size", F.array(*filled).alias("m"))
-    band = [F.xxhash64(F.lit(b), *[F.col("m")[b * BAND_ROWS + r] for r in range(BAND_ROWS)]) for b in range(BANDS)]
+    band = [F.xxhash64(F.lit(b), *[F.get("m", F.lit(b * BAND_ROWS + r)) for r in range(BAND_ROWS)]) for b in range(BANDS)]
     packed = []
     for part in range(0, classes, 8):
         packed.append(F.lit(0).cast("long"))
         for i in range(part, min(part + 8, classes)):
-            packed[-1] = packed[-1].bitwiseOR(F.shiftleft(F.hash(F.col("m")[i]).cast("long").bitwiseAND(F.lit(255)), 8 * (i - part)))
-    return found.select("id", "size", F.array(*band).alias("bands"), *[p.alias(f"sig{i}") for i, p in enumerate(packed)])
+            packed[-1] = packed[-1].bitwiseOR(F.shiftleft(F.hash(F.get("m", F.lit(i))).cast("long").bitwiseAND(F.lit(255)), 8 * (i - part)))
+
+    def signed(minima: DataFrame) -> DataFrame:
+        # A lambda keeps the two steps apart: generated code for both at once is a method so long that the JVM never compiles it.
+        found = minima.select("id", "size", "seen", F.transform(F.array(*filled), lambda m: m).alias("m"))
+        return found.select("id", "size", "seen", F.array(*band).alias("bands"), *[p.alias(f"sig{i}") for i, p in enumerate(packed)])
+
+    # Lines that repeat a few shingles may have hardly any within reach: for them all are looked at.
+    first = materialize(signed(near), "line-signatures")
+    poor = (F.coalesce(F.bit_count("seen"), F.lit(0)) < classes - FEW_EMPTY) & (F.col("size") > REACH)
+    ids = small_or_shuffled(materialize(first.where(poor).select("id"), "line-poor"))
+    again = materialize(signed(_minima(lines.join(ids, "id", "left_semi"), None)), "line-signatures")
+    drop_table(ids)
+    return first.where(~poor).unionByName(again).drop("seen")
 
 
 def _agreeing(x: str = "a", y: str = "b") -> Column:
@@ -114,10 +123,6 @@ def _agreeing(x: str = "a", y: str = "b") -> Column:
     return (F.least(f"size{x}", f"size{y}") < LONG) | (unlike <= BANDS * BAND_ROWS - AGREE)
 
 
-def _sided(signed: DataFrame, side: str) -> DataFrame:
-    return signed.select(F.col("id").alias(side), *[F.col(c).alias(c + side) for c in ("size", "sig0", "sig1", "sig2")])
-
-
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, line: the lines of each text that aren't blank, trimmed and in lower case."""
     every = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -125,22 +130,30 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b), with what columns they have, whose shingle sets are similar. Sets are made from the lines here, since they are many times as long."""
-    counted = texts.withColumn("n", F.size(F.array_distinct(shingles(F.col("line")))))
-    ta, tb = (counted.select(F.col("id").alias(x), F.col("line").alias(f"l{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    both = pairs.join(ta, "a").join(tb, "b")
-    # Inside lambdas, so that the loops stay out of the stage's generated code, whose compilation took over a GB.
-    sets = F.array(F.struct(*[shingles(F.col(f"l{x}")).alias(f"s{x}") for x in "ab"], (F.col("na") + F.col("nb")).alias("n")))
-    sizes = F.transform(sets, lambda p: F.struct(F.size(F.array_intersect(p["sa"], p["sb"])).alias("c"), p["n"].alias("n")))
-    near = F.transform(sizes, lambda p: F.lit(SIMILAR[1]) * p["c"] >= F.lit(SIMILAR[0]) * (p["n"] - p["c"]))[0]
-    return both.where(near).select(pairs.columns)
+    """The pairs (a, b), with what columns they have, whose shingle sets are similar; of texts (id, line), an id once. Sets are made
+    where lines have come to, since they are many times as long: one for a line as b, one for a pair as a."""
+    ends = small_or_shuffled(pairs.select(F.col("b").alias("id")).distinct())
+    sets = texts.join(ends, "id", "left_semi").repartition("id").select(F.col("id").alias("b"), F.array_distinct(shingles(F.col("line"))).alias("sb"))
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(sets, "b")
+    both = both.select(*pairs.columns, F.array_distinct(shingles(F.col("la"))).alias("sa"), "sb")
+    both = both.select(*pairs.columns, F.size(F.array_union("sa", "sb")).alias("either"), (F.size("sa") + F.size("sb")).alias("n"))
+    # Written before the choice, which would otherwise be moved below and make the sets anew.
+    told = materialize(both, "line-told")
+    return told.where(SIMILAR[1] * (F.col("n") - F.col("either")) >= SIMILAR[0] * F.col("either")).select(pairs.columns)
 
 
 def _bucketed(rows: DataFrame) -> DataFrame:
-    """Of (id, band), those whose band has several ids, with the band's pivot, its least id. Minima are combined before the
-    exchange, and the join is one that Spark can split."""
-    spread = rows.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot <> most").select("band", "pivot")
-    return materialize(rows.join(small_or_shuffled(spread), "band"), "line-members")
+    """Of (id, band), those whose band has several ids, with the band's pivot: of its lines, the one that meets most lines in all
+    its bands. In a group of near copies that is a line in the middle, to which most of the others are similar. Counts are
+    combined before the exchange, and the joins are ones that Spark can split."""
+    spread = materialize(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "line-spread")
+    found = materialize(rows.join(small_or_shuffled(spread), "band"), "line-found")
+    met = found.join(found.groupBy("id").agg(F.sum("n").alias("met")), "id")
+    pivots = met.groupBy("band").agg(F.max(F.struct("met", "id")).alias("most")).select("band", F.col("most.id").alias("pivot"))
+    members = materialize(found.select("band", "id").join(pivots, "band"), "line-members")
+    for done in (spread, found):
+        drop_table(done)
+    return members
 
 
 def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -156,11 +169,10 @@ def _all_pairs(apart: DataFrame) -> DataFrame:
     signatures, bands and bitmaps. A band's lines are dealt over blocks, and every two blocks meet under a key of their own."""
     sized = apart.join(apart.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "band")
     sized = sized.withColumn("own", F.pmod(F.xxhash64("id", "band"), F.col("blocks")))
-    each = lambda x: [F.col("bands")[i].alias(f"band{i}{x}") for i in range(BANDS)]
-    about = lambda x: [F.col("id").alias(x), F.col("root").alias(f"r{x}"), *[F.col(c).alias(c + x) for c in ("size", "sig0", "sig1", "sig2", "ones", *_BITS)], *each(x)]
+    about = lambda x: [F.col("id").alias(x), F.col("root").alias(f"r{x}"), *[F.col(c).alias(c + x) for c in ("size", "sig0", "sig1", "sig2", "ones", "bits", "bands")]]
     left = sized.select("band", *about("a"), F.col("own").alias("low"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("high"))
     right = sized.select("band", *about("b"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("low"), F.col("own").alias("high"))
-    first = F.coalesce(*[F.when(F.col(f"band{i}a") == F.col(f"band{i}b"), F.col(f"band{i}a")) for i in range(BANDS)])
+    first = F.get(F.array_intersect("bandsa", "bandsb"), F.lit(0))  # of a line's bands none is another's of another place
     met = left.join(right, ["band", "low", "high"]).where("ra <> rb and (low < high or a < b)").where(_agreeing()).where(first == F.col("band")).where(_may_be_similar())
     turned = F.col("a") > F.col("b")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("rb")).otherwise(F.col("ra")).alias("ra"), F.when(turned, F.col("ra")).otherwise(F.col("rb")).alias("rb"))
@@ -185,39 +197,39 @@ def line_components(docs: DataFrame) -> DataFrame:
     places = told(lines.drop("line")).drop("second")
     named = told(lines.select("id", "second", "line")).drop("second")
 
-    minima = materialize(_minima(named, REACH), "line-minima")
-    signed = materialize(_signatures(named, minima), "line-signatures")
-    drop_table(minima)
+    signed = _signatures(named, _minima(named, REACH))
     members = _bucketed(signed.select("id", F.explode("bands").alias("band")))
-    pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = materialize(pairs.join(_sided(signed, "a"), "a").join(_sided(signed, "b"), "b").where(_agreeing()).select("a", "b"), "line-pairs")
-    rest_ids = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = lambda p: named.join(small_or_shuffled(rest_ids(p)), "id", "left_semi").dropDuplicates(["id"]).select("id", "line")
-    near = materialize(_links(pairs, texts(pairs)), "line-links")
-    roots = connected_components(near)
+    # By both columns, which are alike, so that the sum is by hashes; lines that meet none aren't read again.
+    texts = materialize(named.join(small_or_shuffled(materialize(members.select("id").distinct(), "line-ids")), "id", "left_semi").select("id", "line").distinct(), "line-texts")
+    pairs = materialize(members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "line-pairs")
+    near = _links(pairs, texts)
+    roots = materialize(connected_components(near), "line-roots")
 
     # Lines of one band that are still apart are compared with each other.
     apart = materialize(_apart(members, roots), "line-apart")
-    rest = materialize(apart.join(signed, "id"), "line-rest")
-    for done in (signed, members, near):
+    for done in (members, near):
         drop_table(done)
-    if not rest.isEmpty():
+    if not apart.isEmpty():
         left = small_or_shuffled(apart.select("id").distinct())
-        bitmaps = materialize(_bitmaps(named.join(left, "id", "left_semi")), "line-bitmaps")
-        whole = materialize(rest.join(bitmaps, "id"), "line-rest")
-        for done in (rest, bitmaps):
+        bitmaps = materialize(_bitmaps(texts.join(left, "id", "left_semi")), "line-bitmaps")
+        rest = materialize(apart.join(signed.join(left, "id", "left_semi").join(bitmaps, "id"), "id"), "line-rest")
+        for done in (signed, bitmaps):
             drop_table(done)
-        rest = whole
-        more = materialize(_all_pairs(rest).join(pairs, ["a", "b"], "left_anti"), "line-pairs")
-        found = materialize(_links(more, texts(more)).select("ra", "rb").distinct(), "line-links")
+        met = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = materialize(_all_pairs(rest).join(met, ["a", "b"], "left_anti"), "line-pairs")
+        drop_table(rest)
+        similar = _links(more, texts)
+        found = materialize(similar.select("ra", "rb").distinct(), "line-links")
         if not found.isEmpty():
             # Many links join the same two components, so components of roots are found, not of lines anew.
             above = connected_components(found, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("top"))
             nodes = roots.unionByName(above.select(F.col("root").alias("node"), "root")).distinct()
             roots = nodes.join(small_or_shuffled(above), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        drop_table(found)
-        drop_table(more)
-    for done in (pairs, apart, rest):
+        for done in (found, similar, more):
+            drop_table(done)
+    else:
+        drop_table(signed)
+    for done in (pairs, apart, texts):
         drop_table(done)
 
     owned = places.join(small_or_shuffled(roots.withColumnRenamed("node", "id")), "id", "left").select("doc_id", "line_no", F.coalesce("root", "id").alias("root"))

@@ -160,3 +160,26 @@ def test_line_pairs_meet_once_with_their_roots(spark):
     sets = [{x[i : i + lines.SHINGLE] for i in range(len(x) - lines.SHINGLE + 1)} for x in text]
     alike = {(i, j) for j in range(40) for i in range(j) if i % 7 != j % 7 and set(bands[i]) & set(bands[j]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert len(alike) > 100 and alike <= {p[:2] for p in got}
+
+
+def test_pivots_of_near_copies_are_in_their_middle(spark):
+    import random
+
+    from lumenforge.llm import lines
+    from lumenforge.llm.components import connected_components
+
+    rng = random.Random(17)
+    base = rng.choices("abcdefghij ", k=400)
+    text = []
+    for _ in range(200):
+        line = list(base)
+        for at in rng.sample(range(400), 4):
+            line[at] = rng.choice("xyz")
+        text.append("".join(line))
+    text.append("".join(base))  # similar to all, which are hardly so to each other
+    df = spark.createDataFrame(list(enumerate(text)), "id long, line string")
+    members = lines._bucketed(lines._signatures(df, lines._minima(df, lines.REACH)).select("id", F.explode("bands").alias("band"))).cache()
+    shared = {r.band for r in members.where("id = 200").collect()}
+    assert len(shared) == lines.BANDS and {r.pivot for r in members.collect() if r.band in shared} == {200}
+    roots = connected_components(lines._links(members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), df))
+    assert lines._apart(members, roots).count() < 0.1 * members.count()  # so few are left for all pairs
