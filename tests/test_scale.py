@@ -82,6 +82,41 @@ def test_jcamp_keeps_the_side_of_a_rounding(spark, tmp_path):
     assert sorted((r[0], r[1], r[2]) for r in driver.queries()["jcamp_round_trip"](spark, str(tmp_path)).collect()) == wanted
 
 
+def jcamp_rows(spark, folder, rows):
+    """Rows of jcamp_round_trip and of its SQL on a table of vectors; doubles by their bits."""
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{folder}/embeddings.parquet/*.parquet'")
+    plain = lambda rows: sorted(repr((i, None if y is None else list(y), n)) for i, y, n in rows)
+    got = driver.queries()["jcamp_round_trip"](spark, folder).select("vec_id", "y", "n").collect()
+    return plain(got), plain(con.sql(driver.oracle_sql()["jcamp_round_trip"]).fetchall())
+
+
+def test_jcamp_takes_every_vector(spark, tmp_path):
+    y = [0.25, -0.5, 0.125]
+    rows = [(i, [v + i for v in y]) for i in (0, 59, 60, 61, 2**40, -3)] + [(60, y), (60, y[:1]), (None, y), (7, []), (8, None), (None, None)]
+    got, wanted = jcamp_rows(spark, str(tmp_path), rows)
+    assert len(got) == len(rows) and got == wanted
+
+
+def test_jcamp_blocks_are_read_once_by_ranges(spark, tmp_path):
+    from lumenforge.sources import jcamp
+
+    rows = [("raman", f"{i}", [1.0, 2.0, 3.0][: 1 + i % 3], [float(i), 0.0, -1.0][: 1 + i % 3]) for i in range(40)]
+    df = spark.createDataFrame(rows, "modality string, title string, x array<double>, y array<double>").repartition(3)
+    jcamp.write_compound(df, f"{tmp_path}/all")
+    for chunk in (150, 999, 1 << 20):
+        got = jcamp.read_jcamp(spark, f"{tmp_path}/all", chunk).select("modality", "title", "x", "y").collect()
+        assert sorted(map(tuple, got)) == sorted(rows)
+    # A file without a title, and labels before the first one.
+    one = "##DATA TYPE=RAMAN SPECTRUM\n##XYDATA=(XY..XY)\n1 2\n##END=\n"
+    (tmp_path / "one.jdx").write_text(one)
+    (tmp_path / "two.jdx").write_text("##JCAMP-DX=5.01\r\n##title= a\r\n" + one + "## TITLE = b ##TITLE=c\r" + one)
+    assert [r["title"] for r in jcamp.read_jcamp(spark, f"{tmp_path}/one.jdx").collect()] == [""]
+    assert sorted(r["title"] for r in jcamp.read_jcamp(spark, f"{tmp_path}/two.jdx").collect()) == ["a", "b ##TITLE=c"]
+
+
 def test_asynchronous_moves_no_pairs_of_blocks(spark):
     import numpy as np
 
