@@ -73,14 +73,14 @@ def imzml_round_trip(table):
 
 @query("select vec_id, list_transform(embedding, lambda x: round(cast(x as double), 4)) as y, cast(len(embedding) as bigint) as n from embeddings")
 def jcamp_round_trip(table):
-    """Spectra in the difference form in compound files, decoded again; the title is a vector's number. They have fifteen digits,
-    since seven move a value near the middle of two steps of the SQL's rounding to the wrong side. Without an array there is no
-    spectrum to write."""
+    """Spectra in the difference form in compound files, decoded again; the title is a vector's number. Ordinates are kept as they
+    are, since fewer digits move a value near the middle of two steps of the SQL's rounding to the wrong side. Without an array
+    there is no spectrum to write."""
     vectors = table("embeddings")
     df = vectors.where("embedding is not null").select(F.lit("raman").alias("modality"), F.col("vec_id").cast("string").alias("title"), F.transform("embedding", lambda x, i: 100.0 + 2 * i).alias("x"), F.col("embedding").cast("array<double>").alias("y"))
     at = scratch(df, "jcamp")
-    jcamp.write_compound(df, at, "dif", 15)
-    found = jcamp.read_jcamp(df.sparkSession, at).select(F.expr("cast(nullif(title, '') as bigint)").alias("vec_id"), F.transform("y", lambda v: F.round(v, 4)).alias("y"), F.size("x").cast("long").alias("n"))
+    jcamp.write_compound(df, at, "dif", None)
+    found = jcamp.read_jcamp(df.sparkSession, at).select(F.expr("cast(nullif(title, '') as bigint)").alias("vec_id"), F.transform("y", lambda v: fn.rounded_in_binary(v, 4)).alias("y"), F.size("x").cast("long").alias("n"))
     return found.unionByName(vectors.where("embedding is null").select("vec_id", F.lit(None).cast("array<double>").alias("y"), F.lit(None).cast("long").alias("n")))
 
 

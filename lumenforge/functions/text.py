@@ -89,6 +89,16 @@ def half_away(value: Column) -> Column:
     return (F.signum(value) * F.floor(F.abs(value) + 0.5)).cast("long")
 
 
+def rounded_in_binary(value: Column, places: int) -> Column:
+    """A double rounded as DuckDB does it: times a power of ten, to the nearest whole number with halves away from 0, and back.
+    A zero keeps its sign, and a number that is too great for the product stays as it is. Spark's own goes by decimals."""
+    power = 10.0**places
+    times = F.abs(value * power)
+    near = F.rint(times)
+    back = F.signum(value) * F.when(times - near == 0.5, near + 1).otherwise(near) / power
+    return F.when(F.isnan(back) | (F.abs(back) == float("inf")), value).otherwise(back)
+
+
 def interleaved(values: Column) -> Column:
     """x and y of an array that holds them in turns."""
     return F.struct(F.filter(values, lambda _, i: i % 2 == 0).alias("x"), F.filter(values, lambda _, i: i % 2 == 1).alias("y"))

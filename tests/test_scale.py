@@ -100,6 +100,49 @@ def test_jcamp_takes_every_vector(spark, tmp_path):
     assert len(got) == len(rows) and got == wanted
 
 
+def test_jcamp_keeps_zeros_signs_and_values_of_no_number(spark, tmp_path):
+    # A small negative value rounds to a negative zero in DuckDB; some vectors hold what no whole differences can.
+    rows = [(0, [0.5, -0.00003, 0.00003, 0.0]), (1, [-0.0, 0.25]), (2, [None, 1.5, float("nan"), float("-inf"), float("inf")]), (3, [3e38, 1e-45, -1e-30, 0.03125]), (4, [None]), (5, [0.0, 0.0]), (6, [16777217.0, -123456.789, 0.1])]
+    got, wanted = jcamp_rows(spark, str(tmp_path), rows)
+    assert got == wanted and "-0.0" in wanted[0]
+
+
+def test_jcamp_without_digits_keeps_every_bit():
+    import numpy as np
+
+    from lumenforge.sources import jcamp
+
+    rng = np.random.default_rng(2)
+    for n in range(1, 60):
+        y = (rng.normal(size=n) * 10.0 ** rng.integers(-20, 20)).astype(np.float32).astype(float)
+        if n % 3 == 0:
+            y *= 10.0 ** rng.integers(-9, 9, n)  # too far apart for one factor, or for exact differences
+        y = y.tolist()
+        row = {"modality": "raman", "title": "t", "x": np.arange(n, dtype=float).tolist(), "y": y}
+        for form in ("affn", "pac", "sqz", "dif"):
+            text = jcamp.encode_jcamp(row, form, None)
+            assert jcamp.spectrum_row("s", text)[5] == y
+    top = 2.0**53 - 1
+    for y in ([top], [-top, top] * 400, rng.uniform(0.5, 1, 700).tolist()):
+        for form in ("pac", "sqz", "dif"):
+            text = jcamp.encode_jcamp(row | {"x": np.arange(len(y), dtype=float).tolist(), "y": y}, form, None)
+            assert "X++" in text and jcamp.spectrum_row("s", text)[5] == y
+    assert "X++" in jcamp.encode_jcamp(row | {"y": [0.1] * 59}, "dif", None)
+
+
+def test_rounding_in_binary(spark):
+    import math
+
+    from lumenforge.functions import text as fn
+
+    duckdb = pytest.importorskip("duckdb")
+    values = [0.00005, -0.00005, 0.00015, 1.00005, 2.5, 0.49999999999999994e-4, -0.0, -1e-9, 1e300, -1.79e308, 2.0**53 + 2, 0.285, 1.005, 4.35, float("inf"), float("nan")]
+    values += [(k + 0.5) / 1e4 for k in range(-300, 300)]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(values)), "i long, v double").select("i", fn.rounded_in_binary(F.col("v"), 4).alias("r")).orderBy("i").select("r").collect()]
+    wanted = [r[0] for r in duckdb.execute("select round(v, 4) from (select unnest(?::double[]) as v)", [values]).fetchall()]
+    assert [(repr(a), math.copysign(1, a)) for a in got] == [(repr(a), math.copysign(1, a)) for a in wanted]
+
+
 def test_jcamp_blocks_are_read_once_by_ranges(spark, tmp_path):
     from lumenforge.sources import jcamp
 
